@@ -74,7 +74,7 @@ def in_order(df: DataFrame, *keys: str) -> DataFrame:
 
 def offsets(dealt: DataFrame, total: Column, name: str) -> DataFrame:
     """The running total before each partition of a frame with _part: as many rows as partitions."""
-    sums = sorted(dealt.groupBy("_part").agg(total.alias("n")).collect())
+    sums = sorted(dealt.groupBy("_part").agg(total.alias("n")).coalesce(1).collect())
     out, before = [], 0
     for part, n in sums:
         out.append((part, before))

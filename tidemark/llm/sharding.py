@@ -27,19 +27,22 @@ from pyspark.sql import functions as F
 
 from .common import in_order, written
 
-#: Key ranges on the driver at a time.
-RANGES = 8192
+#: Key ranges that a pass makes at most, and that it splits at most.
+RANGES, SPLIT = 8192, 128
 
 
 @dataclass
 class Span:
-    """Groups with keys from low to high: their total size, the largest, their number."""
+    """Groups with keys from low to high: their total size and that of the largest. Groups of one key are one."""
 
     low: int
     high: int
     total: int
     largest: int
-    count: int
+
+    def __post_init__(self) -> None:
+        if self.low == self.high:
+            self.largest = self.total
 
 
 def walk(spans: list[Span], capacity: int, divisible: bool) -> Iterator[int]:
@@ -50,7 +53,7 @@ def walk(spans: list[Span], capacity: int, divisible: bool) -> Iterator[int]:
         while at < len(spans) and spans[at].total - left <= room:
             room -= spans[at].total - left
             at, left = at + 1, 0
-        if at < len(spans) and divisible and spans[at].count > 1:
+        if at < len(spans) and divisible and spans[at].low < spans[at].high:
             left += room
         yield at
 
@@ -78,49 +81,48 @@ def least_capacity(spans: list[Span], most: int, divisible: bool) -> int:
     return low
 
 
-def unsettled(spans: list[Span], low: int, high: int, most: int) -> list[tuple[int, int]]:
-    """Runs of spans in which a greedy cut may fall for a capacity from low to high, and that can be split."""
-    first, last = [], []
-    for out, capacity, divisible in ((first, low, False), (last, high, True)):
-        for at in walk(spans, capacity, divisible):
-            out.append(at)
-            if len(out) > most:
-                break
-        out += [out[-1]] * (most - len(out))
-    marked = sorted({i for a, b in zip(first, last, strict=False) for i in range(a, min(b, len(spans) - 1) + 1) if spans[i].count > 1})
-    runs: list[tuple[int, int]] = []
-    for i in marked:
-        if runs and runs[-1][1] == i - 1:
-            runs[-1] = (runs[-1][0], i)
-        else:
-            runs.append((i, i))
-    return runs
+def unsettled(spans: list[Span], low: int, high: int, most: int) -> list[int]:
+    """The first spans in which a greedy cut may fall for a capacity from low to high, and that can be split."""
+    first = []
+    for at in walk(spans, low, False):
+        first.append(at)
+        if len(first) > 1 and at == first[-2] or len(first) == most:
+            break  # a range that does not fit as a whole: what lies after it waits until it is split
+    last = [at for at, _ in zip(walk(spans, high, True), range(len(first)), strict=False)]
+    last += [len(spans)] * (len(first) - len(last))
+    stuck = len(first) > 1 and first[-1] == first[-2]
+    if stuck:
+        last[-1] = first[-1]
+    if first and first[0] == 0 and spans[0].total > low:
+        first, last = [0], [0]
+    marked = sorted({i for a, b in zip(first, last, strict=True) for i in range(a, min(b, len(spans) - 1) + 1) if spans[i].low < spans[i].high})
+    return marked[:SPLIT]
 
 
 def minimax_cuts(units: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """units: key (long, distinct), size. Gives the least capacity and the first key of each shard but the first."""
-    total = units.agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size"), F.count(F.lit(1))).first()
-    if not total[4]:
+    """units: key (long), size; units of one key stay together. Gives the least capacity and the first key of each shard but the first."""
+    total = units.agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size")).first()
+    if total[0] is None:
         return 0, []
     spans = [Span(*total)]
     while True:
         low, high = least_capacity(spans, shards, True), least_capacity(spans, shards, False)
-        runs = unsettled(spans, low, high, shards)
-        if not runs:
+        marked = unsettled(spans, low, high, shards)
+        if not marked:
             break
-        parts, branch = max(2, RANGES // len(runs)), None
-        for i, (a, b) in enumerate(runs):
-            start, end = spans[a].low, spans[b].high
-            width = -(-(end - start + 1) // parts)
-            place = F.struct(F.lit(i).alias("run"), F.floor((F.col("key").cast("decimal(20,0)") - F.lit(str(start)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("long").alias("part"))
-            inside = F.col("key").between(start, end)
+        parts, branch = RANGES // len(marked), None
+        for i in marked:
+            width = -(-(spans[i].high - spans[i].low + 1) // parts)
+            part = F.floor((F.col("key").cast("decimal(20,0)") - F.lit(str(spans[i].low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)"))
+            place = F.struct(F.lit(i).alias("span"), part.cast("long").alias("part"))
+            inside = F.col("key").between(spans[i].low, spans[i].high)
             branch = F.when(inside, place) if branch is None else branch.when(inside, place)
-        found = units.select(branch.alias("at"), "key", "size").where("at IS NOT NULL").groupBy("at").agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size"), F.count(F.lit(1))).collect()
+        found = units.select(branch.alias("at"), "key", "size").where("at IS NOT NULL").groupBy("at").agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size")).coalesce(1).collect()
         finer: dict[int, list[Span]] = {}
         for row in found:
             finer.setdefault(row[0][0], []).append(Span(*row[1:]))
-        for i, (a, b) in reversed(list(enumerate(runs))):
-            spans[a : b + 1] = sorted(finer[i], key=lambda s: s.low)
+        for i in reversed(marked):
+            spans[i : i + 1] = sorted(finer[i], key=lambda s: s.low)
     return high, [spans[at].low for at in walk(spans, high, True) if at < len(spans)]
 
 
@@ -135,10 +137,9 @@ def shard(documents: DataFrame, shards: int = 24, text: str = "text", key: str =
     rows = written(documents.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("_digest")))
     groups = rows.groupBy("_digest").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("_key"), F.sum("size").alias("_size"))
     groups = written(groups)
-    units = written(groups.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("size")))
-    _, cuts = minimax_cuts(units, shards)
+    _, cuts = minimax_cuts(groups.select(F.col("_key").alias("key"), F.col("_size").alias("size")), shards)
     number = reduce(add, ((F.col("_key") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
     placed = rows.join(groups.select("_digest", "_key"), "_digest").withColumn("shard", number)
     ranked = in_order(placed, "_key", "doc_id", "_digest")
-    starts = ranked.groupBy("shard").agg(F.min("_rank").alias("_start"))  # as many rows as shards
+    starts = ranked.groupBy("shard").agg(F.min("_rank").alias("_start")).coalesce(1)  # as many rows as shards
     return ranked.join(F.broadcast(starts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_rank") - F.col("_start")).alias("slot"))
