@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -19,9 +20,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Fixed values. ASCII blanks; and the other white space of Unicode.
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_BLANK = re.compile("[\x85\xa0  -     　][ \t\n\r\x0b\x0c]")
-#: Pieces that a worker keeps; about 200 bytes each.
-KNOWN = 600_000
+#: Pieces that a worker keeps; about 220 bytes each.
+KNOWN = 1_200_000
+#: Fixed values. Both tokenizers split between a letter and these, so what precedes them is encoded apart.
+_MARKS, _LETTERS = b".,;:!?|%$#&*", frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 END = 2
+#: Byte-level vocabularies write a byte that prints as that character, and the others, in order, from U+0100 on.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
 class Encoder:
@@ -32,6 +38,7 @@ class Encoder:
 
         self.library, self.blanks = Tokenizer.from_file(path), blanks
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self._clear()
 
     def _clear(self) -> None:
@@ -42,32 +49,67 @@ class Encoder:
 
     def _thin(self) -> None:
         """Keeps the pieces that were met again."""
-        old, ids, start, size, again = self.at, self.ids, self.start, self.size, self.again
+        again, kept = self.again, [p for p, i in self.at.items() if self.again[i]]
+        at = np.flatnonzero(again[: len(self.at)])
+        flat, sizes = self._gather(at), self.size[at]
         self._clear()
-        keep = [p for p, i in old.items() if again[i]]
-        if len(keep) < KNOWN // 2:
-            for p in keep:
-                i = old[p]
-                self._keep(p, ids[start[i] : start[i] + size[i]])
-
-    def _keep(self, piece: bytes, ids: np.ndarray) -> None:
-        n = len(self.at)
-        if n == len(self.start):
+        if len(kept) < KNOWN // 2:
+            self._add(kept, flat, sizes)
+
+    def _add(self, pieces: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = len(self.at), len(pieces)
+        while n + k > len(self.start):
             self.start, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.again))
-        while self.used + len(ids) > len(self.ids):
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.at[piece], self.start[n], self.size[n] = n, self.used, len(ids)
-        self.used += len(ids)
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[n : n + k] = sizes
+        self.start[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.at.update(zip(pieces, range(n, n + k), strict=True))
+        self.used += len(flat)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of some pieces, one after the other."""
+        size = self.size[at]
+        out = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
+        return self.ids[out + np.arange(len(out))]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, w: str) -> bool:
+        """Lower-case Latin letters, composed, with one blank before them at most if blanks count: one word for the tokenizer."""
+        letters = w.removeprefix(" ") if self.blanks else w
+        return letters.isalpha() and max(letters) < "\u0250" and (self.blanks or letters == letters.lower())
+
+    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """A word and the marks after it; the tokenizer without blanks lowers case, so ASCII words are lowered here already."""
+        word = piece.rstrip(_MARKS)
+        if not word or word[-1] not in _LETTERS:
+            return (piece,)
+        marks = piece[len(word) :]
+        if not self.blanks and word.isascii():
+            word = word.lower()
+        return (word, marks) if marks else (word,)
+
     def _learn(self, pieces: list[bytes]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for piece, ids in zip(part, self._whole([p.decode() for p in part]), strict=True):
-                self._keep(piece, ids)
+        parts = list(map(self._parts, pieces))
+        new = list({x for row in parts for x in row if x not in self.at})
+        text = [x.decode() for x in new]
+        plain = list(map(self._plain, text))
+        # What the steps before the model would leave as it is goes to the model at once.
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(x.decode("latin-1").translate(_BYTE_CHARS))] for x, p in zip(new, plain, strict=True) if p]
+        rest = [t for t, p in zip(text, plain, strict=True) if not p]
+        for i in range(0, len(rest), 4096):
+            ids += [e.ids for e in self.library.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False)]
+        order = [x for x, p in zip(new, plain, strict=True) if p] + [x for x, p in zip(new, plain, strict=True) if not p]
+        self._add(order, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        both = [(p, row) for p, row in zip(pieces, parts, strict=True) if p not in self.at]
+        if both:
+            at = np.array([self.at[x] for _, row in both for x in row])
+            first = np.cumsum([0] + [len(row) for _, row in both[:-1]])
+            self._add([p for p, _ in both], self._gather(at), np.add.reduceat(self.size[at], first))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -79,12 +121,13 @@ class Encoder:
         if len(self.at) > KNOWN:
             self._thin()
         known = len(self.at)
-        self._learn([p for p in set(pieces) if p not in self.at])
-        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list({pieces[i] for i in missing}))
+            at[missing] = [self.at[pieces[i]] for i in missing]
         self.again[at[at < known]] = True
-        size = self.size[at]
-        out = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        return self.ids[out + np.arange(len(out))]
+        return self._gather(at)
 
     def document(self, text: str | None, end: int = END) -> np.ndarray:
         return np.append(self.encode(text), np.uint32(end))
