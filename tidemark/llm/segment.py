@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .lattice import MARK, Pieces, astar, pieces, viterbi
 
-N_BEST, KNOWN = 4, 700_000
+N_BEST, KNOWN = 4, 1_500_000
 _STRETCH = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -127,8 +127,8 @@ def segment(documents: DataFrame, model: str, n_best: int = N_BEST, with_ids: bo
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Segmenter(pieces(model), n_best)
         for frame in frames:
-            for low in range(0, len(frame), 500):
-                some = frame.iloc[low : low + 500]
+            for low in range(0, len(frame), 2000):
+                some = frame.iloc[low : low + 2000]
                 texts = [x or "" for x in some["text"]]
                 parts = [own.stretches(t) for t in texts]
                 own.learn(parts)
