@@ -8,7 +8,8 @@ pair at the threshold exceeds with probability below MISS.
 
 Documents with equal sets are one class, and only classes are joined. Links are confirmed in two rounds:
 
-1. In each bucket of the index, everyone with the bucket's least node. These pairs are as many as the index rows
+1. In each bucket of the index, everyone with the bucket's center, the node that shares most keys with others (the
+   original of a group of edited copies, say). These pairs are as many as the index rows
    at most, whatever the size of the bucket. Components are built from the links found.
 2. Buckets whose rows are not in one component yet: all pairs across components, in blocks (no pair is a row).
 
@@ -188,9 +189,11 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataF
     """Links (a, b) between nodes (node, sig) that join all that are linked."""
     distance = apart(percent)
     keys = nodes.mapInPandas(_keys(index_parts(distance)), "node long, key long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("center")).where("_n > 1").drop("_n")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = written(keys.join(shared, "key"))
-    star = index.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    degree = index.groupBy("node").agg(F.sum("n").alias("degree"))
+    center = index.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("center"))
+    star = index.join(center, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     star = written(star.where(_near(distance)("sig_a", "sig_b")).select("a", "b"))
     # Of the texts only those that a round may compare; they are written once, and read by both rounds.
