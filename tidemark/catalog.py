@@ -1,4 +1,428 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows. Doubles are rounded on both sides."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.operators import asof as A
+from tidemark.operators import filters as B
+from tidemark.operators import gates as G
+from tidemark.operators import ranks as R
+from tidemark.operators import vectors as V
+from tidemark.operators import vocab as J
+from tidemark.session import DAY_US, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DAY = 86_400_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c, n: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "event_type", "value")
+
+
+def docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+
+
+def value():
+    return F.log1p("value")
+
+
+SPLIT = ("CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-02-01' THEN 'test' END")
+_KEYED = f"(PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY + 1} PRECEDING)"
+_ALL = f"(ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY + 1} PRECEDING)"
+_MONTH = f"(ORDER BY epoch_us(ts) RANGE BETWEEN {31 * DAY} PRECEDING AND {DAY + 1} PRECEDING)"
+_RUNG1 = f"coalesce(CASE WHEN count(*) OVER {_MONTH} >= 30 THEN avg(ln(1 + value)) OVER {_MONTH} END, avg(ln(1 + value)) OVER {_ALL}, 0.0)"
+
+
+@query(f"SELECT event_id, round(avg(ln(1 + value)) OVER {_KEYED}, 6) AS prior_mean, count(*) OVER {_KEYED} AS prior_count FROM events")
+def author_prior(spark, folder):
+    return A.prior_mean(events(spark, folder), "user_id", "ts", value()).select("event_id", r("prior_mean").alias("prior_mean"), "prior_count")
+
+
+@query(f"SELECT o_orderkey, count(*) OVER w AS prior_count, round(avg(o_totalprice) OVER w, 4) AS prior_mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY + 1} PRECEDING)")
+def order_prior_strict_ties(spark, folder):
+    rows = A.prior_mean(table(spark, folder, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    return rows.select("o_orderkey", "prior_count", r("prior_mean", 4).alias("prior_mean"))
+
+
+@query(f"SELECT o_orderkey, count(*) OVER w AS prior_count, round(avg(o_totalprice) OVER w, 4) AS prior_mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) RANGE BETWEEN {366 * DAY} PRECEDING AND {DAY + 1} PRECEDING)")
+def order_prior_windowed(spark, folder):
+    rows = A.prior_mean(table(spark, folder, "orders"), "o_custkey", "o_orderdate", "o_totalprice", A.Prior(window_us=365 * DAY_US))
+    return rows.select("o_orderkey", "prior_count", r("prior_mean", 4).alias("prior_mean"))
+
+
+@query(f"SELECT event_id, round({_RUNG1}, 6) AS rung1 FROM events")
+def trailing_mean_rung1(spark, folder):
+    return A.trailing_rung(events(spark, folder), "event_id", "ts", value()).select("event_id", r("rung1").alias("rung1"))
+
+
+@query(f"SELECT event_id, round(coalesce(avg(ln(1 + value)) OVER {_KEYED}, {_RUNG1}), 6) AS prediction FROM events")
+def rung2_with_fallback(spark, folder):
+    return A.keyed_rung(events(spark, folder), "event_id", "user_id", "ts", value()).select("event_id", r("prediction").alias("prediction"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (p IS NULL) AS fallbacks, round(count(*) FILTER (p IS NULL) / count(*), 6) AS fraction FROM (SELECT avg(value) OVER {_KEYED} AS p FROM events)")
+def fallback_counts(spark, folder):
+    return A.fallbacks(A.prior_mean(events(spark, folder), "user_id", "ts", value())).select("total", "fallbacks", r("fraction").alias("fraction"))
+
+
+@query("SELECT e.event_id, count(h.event_id) AS prior_count, round(avg(h.value), 6) AS prior_mean FROM events e LEFT JOIN events h ON h.user_id = e.user_id AND h.event_type = 'purchase' AND epoch_us(h.ts) < epoch_us(e.ts) - 86400000000 WHERE e.event_type = 'view' GROUP BY 1")
+def prior_from_other_rows(spark, folder):
+    e = events(spark, folder)
+    out = A.prior_from(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "ts", "value")
+    return out.select("event_id", "prior_count", r("prior_mean").alias("prior_mean"))
+
+
+_BASE = f"(PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {11 * DAY} PRECEDING AND {DAY + 1} PRECEDING)"
+
+
+@query(f"SELECT event_id, n_prior, round(CASE WHEN n_prior >= 2 THEN c ELSE 0 END, 6) AS centre, round(CASE WHEN n_prior >= 2 AND s > 0 THEN s ELSE 1 END, 6) AS spread FROM (SELECT event_id, count(*) OVER {_BASE} AS n_prior, avg(ln(1 + value)) OVER {_BASE} AS c, stddev_pop(ln(1 + value)) OVER {_BASE} AS s FROM events)")
+def trailing_baseline_meanstd(spark, folder):
+    config = A.Baseline(window_us=10 * DAY_US, centre="mean", scale=True, min_periods=2)
+    return A.trailing_baseline(events(spark, folder), "ts", value(), config, "user_id").select("event_id", "n_prior", r("centre").alias("centre"), r("spread").alias("spread"))
+
+
+@query(f"SELECT event_id, n_prior, round(CASE WHEN n_prior >= 2 THEN c ELSE 0 END, 6) AS centre, round(CASE WHEN n_prior >= 2 AND s > 0 THEN s ELSE 1 END, 6) AS spread FROM (SELECT event_id, count(*) OVER {_BASE} AS n_prior, quantile_cont(ln(1 + value), 0.5) OVER {_BASE} AS c, (quantile_cont(ln(1 + value), 0.75) OVER {_BASE} - quantile_cont(ln(1 + value), 0.25) OVER {_BASE}) * 0.7413 AS s FROM events)")
+def trailing_baseline_medianiqr(spark, folder):
+    config = A.Baseline(window_us=10 * DAY_US, centre="median", spread="iqr", scale=True, min_periods=2)
+    return A.trailing_baseline(events(spark, folder), "ts", value(), config, "user_id").select("event_id", "n_prior", r("centre").alias("centre"), r("spread").alias("spread"))
+
+
+@query("SELECT event_id, round((ln(1 + value) - 2.9) / 1.3, 6) AS target, round(value, 6) AS back FROM events")
+def forward_inverse_roundtrip(spark, folder):
+    t = A.forward(F.col("value"), F.lit(2.9), F.lit(1.3))
+    return events(spark, folder).select("event_id", r(t).alias("target"), r(A.inverse(t, F.lit(2.9), F.lit(1.3))).alias("back"))
+
+
+@query(f"SELECT split, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT {SPLIT} AS split, value FROM events) WHERE split IS NOT NULL GROUP BY 1")
+def split_label(spark, folder):
+    import datetime as dt
+
+    s = B.Split(dt.datetime(2000, 1, 1), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 22), dt.datetime(2024, 2, 1))
+    return B.apply_split(events(spark, folder), s, "ts").groupBy("split").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') NOT IN ('1995-03', '1996-07')")
+def drop_months(spark, folder):
+    return B.drop_months(table(spark, folder, "orders"), ["1995-03", "1996-07"], "o_orderdate").select("o_orderkey")
+
+
+@query("SELECT event_id, ts >= TIMESTAMP '2024-01-25' AS late FROM events")
+def validation_tail(spark, folder):
+    return events(spark, folder).select("event_id", (F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).alias("late"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5(o_orderkey::VARCHAR || ':7'), 1, 8))::BIGINT, o_orderkey LIMIT 50")
+def validation_sample(spark, folder):
+    return B.sample(table(spark, folder, "orders"), 50, "o_orderkey", 7).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE trim(event_type) <> '' AND floor(value) > 0 AND len(regexp_extract_all(lower(event_type), '[a-z0-9]+')) >= 1")
+def filter_usable(spark, folder):
+    e = events(spark, folder).select("event_id", F.col("ts").alias("time"), F.col("event_type").alias("title"), F.floor("value").alias("score"))
+    return B.filter_stories(e).select("event_id")
+
+
+@query("SELECT p_partkey, CASE p_size % 7 WHEN 1 THEN 'story' WHEN 2 THEN 'comment' WHEN 3 THEN 'poll' WHEN 4 THEN 'pollopt' WHEN 5 THEN 'job' ELSE 'unknown:' || (p_size % 7)::VARCHAR END AS kind FROM part")
+def decode_type(spark, folder):
+    return table(spark, folder, "part").select("p_partkey", B.decode_type(F.col("p_size") % 7).alias("kind"))
+
+
+@query("SELECT event_type AS type, count(*) AS count FROM events WHERE event_type <> '' AND value > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def modal_type(spark, folder):
+    return B.modal_type(events(spark, folder).select(F.col("event_type").alias("type"), F.col("event_type").alias("title"), F.col("value").alias("score")))
+
+
+@query("SELECT year(o_orderdate) AS year, count(*) AS n, round(quantile_cont(ln(1 + o_totalprice), 0.5), 6) AS median, round(avg(ln(1 + o_totalprice)), 6) AS mean, round(stddev_pop(ln(1 + o_totalprice)), 6) AS std, round(quantile_cont(ln(1 + o_totalprice), 0.75) - quantile_cont(ln(1 + o_totalprice), 0.25), 6) AS iqr FROM orders GROUP BY 1")
+def yearly_stats(spark, folder):
+    y = G.yearly_stats(table(spark, folder, "orders"), "o_orderdate", F.col("o_totalprice"))
+    return y.select("year", "n", *[r(c).alias(c) for c in ("median", "mean", "std", "iqr")])
+
+
+@query("WITH y AS (SELECT year(o_orderdate) AS year, stddev_pop(ln(1 + o_totalprice)) AS std FROM orders GROUP BY 1 HAVING count(*) >= 100) SELECT round(max_by(std, year) / min_by(std, year), 6) AS ratio FROM y")
+def drift_ratio(spark, folder):
+    return G.drift_ratio(G.yearly_stats(table(spark, folder, "orders"), "o_orderdate", F.col("o_totalprice")), "std", 100).select(r("ratio").alias("ratio"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, round(avg(ln(1 + o_totalprice)), 6) AS mean, count(*) AS n FROM orders GROUP BY 1")
+def monthly_means(spark, folder):
+    return G.monthly_means(table(spark, folder, "orders"), "o_orderdate", F.col("o_totalprice")).select("month", r("mean").alias("mean"), "n")
+
+
+@query("SELECT year(o_orderdate) AS year, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1")
+def quantile_pivot(spark, folder):
+    q = G.quantile_pivot(table(spark, folder, "orders"), "o_orderdate", F.col("o_totalprice"), {"p50": 0.5, "p99": 0.99})
+    return q.select("year", r("p50", 4).alias("p50"), r("p99", 4).alias("p99"))
+
+
+@query("SELECT round(corr(year, m), 6) AS r FROM (SELECT year(o_orderdate) AS year, avg(o_totalprice) AS m FROM orders GROUP BY 1)")
+def year_correlation(spark, folder):
+    y = table(spark, folder, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.avg("o_totalprice").alias("m"))
+    return G.correlation(y, "year", "m").select(r("r").alias("r"))
+
+
+@query("WITH c AS (SELECT floor(value)::BIGINT AS score, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) AS total FROM c) SELECT s.score, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 6) AS share, round(sum(coalesce(n, 0) / total) OVER (ORDER BY s.score), 6) AS cumulative FROM (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS score) s LEFT JOIN c USING (score), t")
+def floor_share(spark, folder):
+    return G.floor_share(events(spark, folder), F.floor("value")).select("score", "n", r("share").alias("share"), r("cumulative").alias("cumulative"))
+
+
+_AGE = "(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9"
+
+
+def aged(spark, folder):
+    return events(spark, folder).withColumn("hours", (F.lit(1706745600000000) - F.unix_micros("ts")) / 3.6e9)
+
+
+_BUCKET = "CASE WHEN h < 72 THEN floor(h / 6) * 6 WHEN h < 96 THEN 72 ELSE floor(h / 24) * 24 END"
+
+
+@query(f"SELECT ({_BUCKET})::BIGINT AS age, count(*) AS n FROM (SELECT {_AGE} AS h FROM events) GROUP BY 1")
+def age_buckets(spark, folder):
+    return aged(spark, folder).groupBy(G.age_bucket(F.col("hours")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH b AS (SELECT ({_BUCKET})::BIGINT AS age, count(*) AS n, avg(ln(1 + value)) AS m FROM (SELECT {_AGE} AS h, value FROM events) GROUP BY 1), p AS (SELECT coalesce(quantile_cont(m, 0.5) FILTER (age >= 336), max_by(m, age)) AS plateau FROM b) SELECT age, n, round(m, 6) AS mean_log, round(plateau, 6) AS plateau, abs(m - plateau) <= 0.05 * abs(plateau) AS within, bool_and(abs(m - plateau) <= 0.05 * abs(plateau)) OVER (ORDER BY age ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS settled FROM b, p")
+def settling_curve(spark, folder):
+    c = G.settling_curve(aged(spark, folder), "hours", F.col("value"))
+    return c.select("age", "n", r("mean_log").alias("mean_log"), r("plateau").alias("plateau"), "within", "settled")
+
+
+@query(f"WITH a AS (SELECT CASE WHEN h < 12 THEN 0 WHEN h < 24 THEN 1 WHEN h < 48 THEN 2 WHEN h < 72 THEN 3 WHEN h < 168 THEN 4 WHEN h >= 336 THEN 5 END AS band, hour(ts) AS hod, ln(1 + value) AS v FROM (SELECT *, {_AGE} AS h FROM events)), c AS (SELECT band, hod, avg(v) AS m, count(*) AS k FROM a WHERE band IS NOT NULL GROUP BY 1, 2) SELECT band, round(avg(m), 6) AS balanced, sum(k)::BIGINT AS n, count(*) AS hours FROM c GROUP BY 1")
+def balanced_bands(spark, folder):
+    return G.balanced_bands(aged(spark, folder), "hours", F.hour("ts"), value()).select("band", r("balanced").alias("balanced"), "n", "hours")
+
+
+@query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT month, bool_and(v > 100000) OVER (ORDER BY month) AS leading FROM m")
+def leading_unsettled(spark, folder):
+    m = table(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("v"))
+    return G.leading_run(m, "month", F.col("v") > 100_000).select("month", "leading")
+
+
+@query("SELECT least(floor(value / 10), 39)::BIGINT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 400 GROUP BY 1")
+def histogram(spark, folder):
+    return G.histogram(events(spark, folder), F.col("value"), 0, 400, 40)
+
+
+@query("SELECT e.event_id AS id, strftime(ts, '%Y-%m') AS month, round((epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts)) / 3.6e9, 6) AS age_hours, o_totalprice AS live FROM events e JOIN orders ON o_orderkey = event_id WHERE ts < TIMESTAMP '2024-01-15'")
+def live_age_join(spark, folder):
+    live = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("live"))
+    found = G.live_ages(events(spark, folder).withColumnRenamed("event_id", "id"), live, "2024-01-15 00:00:00", "ts")
+    return found.select("id", "month", r("age_hours").alias("age_hours"), "live")
+
+
+@query("SELECT event_id, round(sin(hour(ts) * 2 * pi() / 24), 6) + 0.0 AS hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 6) + 0.0 AS hour_cos, round(sin((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0.0 AS dow_sin, round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0.0 AS dow_cos, CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_weekend FROM events")
+def temporal_features(spark, folder):
+    return events(spark, folder).select("event_id", *[(r(c) + 0.0).alias(n) for n, c in T.temporal(F.col("ts")).items()])
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '')"
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def hostnames(spark, folder):
+    return table(spark, folder, "pages").select("page_id", T.hostname(F.col("url")).alias("host"))
+
+
+@query(f"SELECT count(*) AS n, sum(CASE WHEN {_HOST} <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS with_url FROM pages")
+def has_url(spark, folder):
+    return table(spark, folder, "pages").agg(F.count(F.lit(1)).alias("n"), F.sum(T.has_url(F.col("url"))).alias("with_url"))
+
+
+_PLAIN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+for _name, _char in T.ENTITIES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = rf"trim(regexp_replace({_PLAIN}, '[\s\x{{00a0}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, md5({_PLAIN}) AS plain FROM pages")
+def strip_html(spark, folder):
+    return table(spark, folder, "pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("plain"))
+
+
+@query()
+def normalise_title(spark, folder):
+    return docs(spark, folder).select("doc_id", F.md5(T.normalise_title(F.col("text"))).alias("title"))
+
+
+_TOKENS = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[''\-][a-z0-9]+)*')"
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents")
+def tokens(spark, folder):
+    return docs(spark, folder).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT page_id, round(ln(1 + length({_PLAIN})), 6) AS body_length, CASE WHEN {_PLAIN} <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS has_body FROM pages")
+def body_features(spark, folder):
+    plain = table(spark, folder, "pages").select("page_id", T.strip_html(F.col("html")).alias("p"))
+    return plain.select("page_id", r(T.body_length(F.col("p"))).alias("body_length"), T.has_body(F.col("p")).alias("has_body"))
+
+
+def lines(spark, folder):
+    return table(spark, folder, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("line_id"), T.tokens(F.col("text")).alias("tokens"))
+
+
+_LINES = f"WITH l AS (SELECT conv_id * 10000 + turn AS line_id, {_TOKENS} AS tokens FROM conversations), w AS (SELECT unnest(tokens) AS word FROM l), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), k AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS idx FROM c WHERE n >= 5 QUALIFY idx <= 1999), v AS (SELECT idx, word, n FROM k UNION ALL SELECT 0, '<unk>', (SELECT sum(n) FROM c) - (SELECT coalesce(sum(n), 0) FROM k))"
+
+
+def vocab(spark, folder):
+    return J.vocabulary(lines(spark, folder), 5, 2000)
+
+
+@query(f"{_LINES} SELECT idx::BIGINT AS idx, word, n::BIGINT AS count FROM v")
+def vocabulary(spark, folder):
+    return vocab(spark, folder)
+
+
+_POS = f"{_LINES}, p AS (SELECT line_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS word FROM l)"
+
+
+@query(f"{_POS} SELECT line_id, count(*) AS n, sum(coalesce(v.idx, 0))::BIGINT AS total FROM p LEFT JOIN v ON v.word = p.word AND v.idx > 0 GROUP BY 1")
+def encode(spark, folder):
+    return J.encode(lines(spark, folder), vocab(spark, folder)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
+
+
+_IDS = f"{_POS}, i AS (SELECT line_id, v.idx, row_number() OVER (PARTITION BY line_id ORDER BY pos) - 1 AS pos, count(*) OVER (PARTITION BY line_id) AS n FROM p JOIN v ON v.word = p.word AND v.idx > 0), g AS (SELECT * FROM i WHERE n > 1)"
+
+
+@query(f"{_IDS} SELECT line_id, count(*) AS n, sum(idx * (pos + 1))::BIGINT AS mix FROM g GROUP BY 1")
+def encode_drop_oov(spark, folder):
+    ids = J.known_ids(lines(spark, folder), vocab(spark, folder)).select("line_id", F.posexplode("ids").alias("pos", "idx"))
+    return ids.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idx") * (F.col("pos") + 1)).alias("mix"))
+
+
+@query(f"{_IDS} SELECT a.idx::BIGINT AS centre, b.idx::BIGINT AS context, count(*) AS n FROM g a JOIN g b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY 1, 2")
+def skipgram_pairs_static(spark, folder):
+    return J.skipgram(J.known_ids(lines(spark, folder), vocab(spark, folder)), 2).groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_IDS} SELECT a.line_id, a.pos::INTEGER AS pos, count(*) AS n, sum(b.idx)::BIGINT AS total FROM g a JOIN g b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY 1, 2")
+def cbow_contexts_static(spark, folder):
+    c = J.cbow(J.known_ids(lines(spark, folder), vocab(spark, folder)), 2)
+    return c.select("line_id", "pos", F.size("context").cast("long").alias("n"), F.aggregate("context", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query(f"{_LINES} SELECT idx::BIGINT AS idx, word, round(pow(n, 0.75) / sum(pow(n, 0.75)) OVER (), 9) AS probability FROM v")
+def noise_distribution(spark, folder):
+    return J.noise(vocab(spark, folder)).select("idx", "word", r("probability", 9).alias("probability"))
+
+
+@query(f"{_LINES} SELECT idx::BIGINT AS idx, word, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, sqrt(1e-5 * sum(n) OVER () / n)) END, 9) AS keep FROM v")
+def keep_probability(spark, folder):
+    return J.keep_probability(vocab(spark, folder)).select("idx", "word", r("keep", 9).alias("keep"))
+
+
+@query(f"{_LINES} SELECT line_id, least(len(tokens), 5000 - before)::BIGINT AS n FROM (SELECT line_id, tokens, coalesce(sum(len(tokens)) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) WHERE before < 5000 AND len(tokens) > 0")
+def token_budget(spark, folder):
+    return J.budget(lines(spark, folder), 5000).select("line_id", F.size("tokens").cast("long").alias("n"))
+
+
+@query("WITH a AS (SELECT doc_id AS id, (row_number() OVER (ORDER BY doc_id) - 1) / (SELECT count(*) FROM documents) AS progress, 0 AS source FROM documents), b AS (SELECT item_id AS id, (row_number() OVER (ORDER BY item_id) - 1) / (SELECT count(*) FROM benchmark) AS progress, 1 AS source FROM benchmark) SELECT id, source, row_number() OVER (ORDER BY progress, source) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+def interleave(spark, folder):
+    from pyspark.sql import Window as W
+
+    a, b = docs(spark, folder).select(F.col("doc_id").alias("id")), table(spark, folder, "benchmark").select(F.col("item_id").alias("id"))
+    return J.interleave(a, b, "id").select("id", "source", F.row_number().over(W.orderBy("progress", "source")).cast("long").alias("place"))
+
+
+_SETS = "SELECT list_distinct(string_split(lower(text), ' ')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark"
+
+
+@query(f"SELECT round(sum(len(list_intersect(a, b))) / sum(len(list_distinct(list_concat(a, b)))), 6) AS jaccard FROM ({_SETS})")
+def micro_jaccard(spark, folder):
+    s = table(spark, folder, "benchmark").select(F.array_distinct(F.split(F.lower("text"), " ")).alias("a"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("b"))
+    return G.jaccard_micro(s, F.col("a"), F.col("b")).select(r("jaccard").alias("jaccard"))
+
+
+_PRED = "(SELECT event_id, value AS predicted, ln(1 + value) * 100 AS actual FROM events WHERE event_type = 'view')"
+
+
+def predicted(spark, folder):
+    return events(spark, folder).where("event_type = 'view'").select("event_id", F.col("value").alias("predicted"), (value() * 100).alias("actual"))
+
+
+@query(f"SELECT round(sqrt(avg((predicted - actual) ** 2)), 6) AS rmse, round(avg(abs(predicted - actual)), 6) AS mae, count(*) AS n FROM {_PRED}")
+def rmse_mae(spark, folder):
+    return R.errors(predicted(spark, folder), "predicted", "actual").select(r("rmse").alias("rmse"), r("mae").alias("mae"), "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS rank FROM lineitem")
+def average_ranks(spark, folder):
+    return R.average_ranks(table(spark, folder, "lineitem"), "l_quantity", "rank").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("WITH x AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS spearman FROM x")
+def spearman(spark, folder):
+    return R.spearman(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice").select(r("spearman").alias("spearman"))
+
+
+@query(f"WITH p AS (SELECT * FROM {_PRED}), t AS (SELECT min(actual) AS least FROM (SELECT actual FROM p ORDER BY actual DESC LIMIT 100)) SELECT count(*) FILTER (actual >= least) / 100.0::DOUBLE AS precision FROM (SELECT actual FROM p ORDER BY predicted DESC, event_id LIMIT 100), t")
+def precision_at_k(spark, folder):
+    return R.precision_at_k(predicted(spark, folder), "predicted", "actual", "event_id", 100)
+
+
+_SIM = "SELECT q.vec_id AS query, e.vec_id AS id, e.label, q.label AS own, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
+
+
+def near(spark, folder, k=10):
+    space = table(spark, folder, "embeddings")
+    return V.neighbours(space, space.where("vec_id % 20 = 0"), k), space
+
+
+@query(f"SELECT query, id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM ({_SIM})) WHERE rank <= 10")
+def nearest_neighbours(spark, folder):
+    return near(spark, folder)[0].select("query", "id", r("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT round(avg(p), 6) AS purity FROM (SELECT query, avg(CASE WHEN label = own THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM ({_SIM})) WHERE rank <= 10 GROUP BY 1)")
+def topic_purity(spark, folder):
+    found, space = near(spark, folder)
+    return V.purity(found, space).select(r("purity").alias("purity"))
+
+
+@query("WITH x AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings) SELECT label, dim::INTEGER AS dim, round(avg(x::DOUBLE), 5) AS mean FROM x GROUP BY 1, 2")
+def mean_pool(spark, folder):
+    e = table(spark, folder, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return V.mean_pool(e, "label", "embedding").select("label", "dim", r("mean", 5).alias("mean"))
+
+
+@query(f"{_LINES} SELECT word, round(1e-3 / (1e-3 + n / sum(n) OVER ()), 9) AS weight FROM v")
+def sif_weights(spark, folder):
+    return V.sif_weights(vocab(spark, folder)).select("word", r("weight", 9).alias("weight"))
+
+
+@query("SELECT c AS c_custkey, row_number() OVER (ORDER BY n DESC, c) AS idx FROM (SELECT o_custkey::VARCHAR AS c, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5)")
+def author_encoder(spark, folder):
+    return J.encoder(table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("c_custkey")), "c_custkey", 5).select("c_custkey", F.col("idx").cast("long").alias("idx"))
+
+
+@query("SELECT fold, (a + INTERVAL (fold * 90) DAY)::DATE AS train_start, (a + INTERVAL (fold * 90 + 730) DAY)::DATE AS test_start, (a + INTERVAL (fold * 90 + 820) DAY)::DATE AS test_end FROM (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), (SELECT unnest(range(200))::INTEGER AS fold) WHERE a + INTERVAL (fold * 90 + 819) DAY <= b")
+def walk_forward(spark, folder):
+    return B.walk_forward(table(spark, folder, "orders"), time="o_orderdate")
+
+
+@query()
+def bootstrap_ci(spark, folder):
+    return G.bootstrap_bands(aged(spark, folder), "hours", F.hour("ts"), value(), "event_id", 100)
