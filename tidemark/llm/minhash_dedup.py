@@ -39,7 +39,7 @@ from .common import components, written
 from .spans import _mixed, _odd, grams, word_hashes
 
 SHINGLE, SYMBOLS, BITS, ERRORS, MISS, SEED = 5, 32, 16, 1, 2e-5, 23
-BLOCK = 256
+BLOCK = 512
 
 
 def apart(percent: int, symbols: int = SYMBOLS, miss: float = MISS) -> int:
@@ -95,7 +95,7 @@ def _keys(parts: tuple[tuple[int, ...], ...]):
         for frame in frames:
             sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1).astype(np.uint64) + np.uint64(1)
             keys = [_mixed((sig[:, p] * factor[list(p)]).sum(axis=1, dtype=np.uint64) + np.array([i], np.uint64) * factor[:1]) for i, p in enumerate(parts)]
-            yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), len(parts)), "key": np.stack(keys, axis=1).ravel().view(np.int64)})
+            yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), len(parts)), "key": np.stack(keys, axis=1).ravel().view(np.int64), "part": np.tile(np.arange(len(parts), dtype=np.int32), len(frame))})
 
     return run
 
@@ -136,16 +136,28 @@ def _confirm(n: int, percent: int):
     return run
 
 
+def _meet(sig: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs have near signatures and meet in this part of the index first; a pair counts there only."""
+    same = sig[a] == sig[b]
+    near = np.flatnonzero(sig.shape[1] - same.sum(axis=1) <= distance)
+    alike = np.stack([same[near][:, list(p)].all(axis=1) for p in index_parts(distance)])
+    out = np.zeros(len(a), bool)
+    out[near] = alike.argmax(axis=0) == part[a[near]]
+    return out
+
+
 def _reach(distance: int):
     """Rows of a cell with a near signature in another component; the others need no text."""
 
     def run(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1)
-        label, use = frame["label"].to_numpy(), np.zeros(len(frame), bool)
+        label, part, use = frame["label"].to_numpy(), frame["part"].to_numpy(), np.zeros(len(frame), bool)
         for a, b in pairs(starts, frame["side"].to_numpy()):
-            near = (label[a] != label[b]) & ((sig[a] != sig[b]).sum(axis=1) <= distance)
+            apart_ = label[a] != label[b]
+            a, b = a[apart_], b[apart_]
+            near = _meet(sig, part, a, b, distance)
             use[a[near]] = use[b[near]] = True
-        yield frame.loc[use, ["key", "cell", "side", "node", "label", "sig"]]
+        yield frame.loc[use, ["key", "part", "cell", "side", "node", "label", "sig"]]
 
     return run
 
@@ -156,9 +168,11 @@ def _across(n: int, percent: int, distance: int):
     def run(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1)
         node, sets, found = frame["node"].to_numpy(), {}, []
-        label = frame["label"].to_numpy().copy()
+        label, part = frame["label"].to_numpy().copy(), frame["part"].to_numpy()
         for a, b in pairs(starts, frame["side"].to_numpy()):
-            near = (label[a] != label[b]) & ((sig[a] != sig[b]).sum(axis=1) <= distance)
+            apart_ = label[a] != label[b]
+            a, b = a[apart_], b[apart_]
+            near = _meet(sig, part, a, b, distance)
             for i, j in zip(a[near], b[near], strict=True):
                 if label[i] == label[j]:
                     continue
@@ -188,7 +202,7 @@ def near_documents(documents: DataFrame, percent: int = 85, n: int = SHINGLE) ->
 def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataFrame:
     """Links (a, b) between nodes (node, sig) that join all that are linked."""
     distance = apart(percent)
-    keys = nodes.mapInPandas(_keys(index_parts(distance)), "node long, key long")
+    keys = nodes.mapInPandas(_keys(index_parts(distance)), "node long, key long, part int")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = written(keys.join(shared, "key"))
     degree = index.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -202,10 +216,10 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataF
     sided = star.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     first = written(sided.sortWithinPartitions("a").mapInPandas(_confirm(n, percent), "a long, b long"))
     label = written(components(first))
-    labelled = index.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = index.select("key", "part", "node").join(label, "node", "left").select("key", "part", "node", F.coalesce("component", "node").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
     rest = cells(labelled.join(open_, "key"), ["key"], "node", BLOCK).join(nodes, "node")
-    rest = written(in_groups(rest, ["key", "cell"], _reach(distance), "key long, cell long, side int, node long, label long, sig binary"))
+    rest = written(in_groups(rest, ["key", "cell"], _reach(distance), "key long, part int, cell long, side int, node long, label long, sig binary"))
     across = in_groups(rest.join(texts, "node"), ["key", "cell"], _across(n, percent, distance), "a long, b long")
     return written(first.unionAll(across))
 
