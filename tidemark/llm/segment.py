@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .lattice import MARK, Pieces, astar, pieces, viterbi
 
-N_BEST, KNOWN = 4, 1_500_000
+N_BEST, KNOWN = 4, 1_000_000
 _STRETCH = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 

@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_BLANK = re.compile("[\x85\xa0  -     　][ \t\n\r\x0b\x0c]")
 #: Pieces that a worker keeps; about 220 bytes each.
-KNOWN = 1_200_000
+KNOWN = 700_000
 #: Fixed values. Both tokenizers split between a letter and these, so what precedes them is encoded apart.
 _MARKS, _LETTERS = b".,;:!?|%$#&*", frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 END = 2
