@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, in_groups, pairs
-from .common import components, written
+from .common import components, free, written
 from .spans import _mixed, _odd, grams, word_hashes
 
 SHINGLE, SYMBOLS, BITS, ERRORS, MISS, SEED = 5, 32, 16, 1, 2e-5, 23
@@ -227,7 +227,8 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataF
 def drop_near_documents(documents: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
     """The documents, all columns, without those that have a smaller doc_id in their component."""
     found = written(near_documents(documents, percent, n))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    (name,) = free(documents, "_gone")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    left = documents.join(gone, documents["doc_id"].cast("long") == F.col(name), "left_anti")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")) if repeated else left

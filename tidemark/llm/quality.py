@@ -21,7 +21,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words, written
+from .common import free, let, words, written
 
 SYMBOLS, CAPITALS, BLANK_CHARS = "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\x0b\x0c\r"
 #: Rule: (measure, quiet while at most, bad from). A rule of this kind votes bad or abstains.
@@ -131,6 +131,7 @@ def judge(documents: DataFrame, text: str = "text", key: str = "doc_id", thresho
 
 def keep(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that the rules keep, all columns. Rows that share an id are told apart by their text; a row without an id is judged too."""
-    marked = documents.withColumn("_key", F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash")))
-    bad = judge(marked, text, "_key").where("NOT kept").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
-    return documents.join(bad, documents[key].eqNullSafe(F.col("_id")) & (F.xxhash64(documents[text]) == F.col("_hash")), "left_anti")
+    ident, hashed = free(documents, "_id", "_hash")
+    marked = documents.select(F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash")).alias("_key"), F.col(text).alias("_text"))
+    bad = judge(marked, "_text", "_key").where("NOT kept").select(F.col("doc_id.id").alias(ident), F.col("doc_id.hash").alias(hashed)).distinct()
+    return documents.join(bad, documents[key].eqNullSafe(F.col(ident)) & (F.xxhash64(documents[text]) == F.col(hashed)), "left_anti")

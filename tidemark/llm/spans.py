@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 WINDOW, K = 50, 10
 #: Of the running sums; odd, so that it has an inverse modulo 2**64.
@@ -224,6 +224,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K) -> Da
     """The documents, all columns, with the repeated spans cut from text. A text that loses nothing stays as it is; a copy loses all."""
     digests, starts = repeated_starts(documents, window, k)
     copies = digests.where(f"doc_id > first AND n_words >= {window}").select("doc_id", "t", F.lit(True).alias("copy")).distinct()
-    change = starts.join(copies, ["doc_id", "t"], "full").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("starts").alias("_starts"), F.col("copy").alias("_copy"))
-    known = documents.join(change, (documents["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(documents["text"].cast("string")) == F.col("_t")), "left")
-    return known.withColumn("text", F.when(F.col("_copy"), "").otherwise(_cut(window)("text", "_starts")["text"])).select(*documents.columns)
+    doc, t, cut, copy = free(documents, "_doc", "_t", "_starts", "_copy")
+    change = starts.join(copies, ["doc_id", "t"], "full").select(F.col("doc_id").alias(doc), F.col("t").alias(t), F.col("starts").alias(cut), F.col("copy").alias(copy))
+    known = documents.join(change, (documents["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(documents["text"].cast("string")) == F.col(t)), "left")
+    return known.withColumn("text", F.when(F.col(copy), "").otherwise(_cut(window)("text", cut)["text"])).select(*documents.columns)
