@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import content_store, embedding_dedup, lm_score, minhash_dedup, packing, quality, segment, sharding, spans, warc
+from .oracles import oracles
 
 SHARDS, PERCENT = 24, 85
 
@@ -72,4 +73,4 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_warc, op4_content_store, op5_embedding_dedup, op6_sharding, op7_minhash_dedup, op8_packing, op9_nbest, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles(SHARDS, PERCENT)
