@@ -26,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op1_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.supervise(table(spark, folder, "documents"))
+
+
 def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -72,5 +76,5 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spans.span_report(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_warc, op4_content_store, op5_embedding_dedup, op6_sharding, op7_minhash_dedup, op8_packing, op9_nbest, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_warc, op4_content_store, op5_embedding_dedup, op6_sharding, op7_minhash_dedup, op8_packing, op9_nbest, op10_substring_dedup, op1_weak_supervision)}
 ORACLES = oracles(SHARDS, PERCENT)
