@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from tidemark import catalog, catalog_models  # noqa: F401 - the second adds its queries to the first
 from tidemark.llm import quality
 from tidemark.llm import queries as Q
 
@@ -31,3 +32,9 @@ def test_supervised_quality_follows_the_labels(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert all(got[d].kept for d, q in labels.items() if q and not got[d].base_failed)
     assert not any(got[d].kept for d, q in labels.items() if not q)
+
+
+def test_whole_vocabularies(spark):
+    assert "idx <= 99999" in catalog.ORACLES["encode_100k"] and "LIMIT 50000)" in catalog.ORACLES["tfidf_weights_50k"]
+    words = catalog.QUERIES["vocabulary_100k"](spark, "/root/testdata/sf0.1")
+    assert words.where("idx > 0").count() == 8913

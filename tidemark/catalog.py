@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -287,51 +288,51 @@ def lines(spark, folder):
 _LINES = f"WITH l AS (SELECT conv_id * 10000 + turn AS line_id, {_TOKENS} AS tokens FROM conversations), w AS (SELECT unnest(tokens) AS word FROM l), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), k AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS idx FROM c WHERE n >= 5 QUALIFY idx <= 1999), v AS (SELECT idx, word, n FROM k UNION ALL SELECT 0, '<unk>', (SELECT sum(n) FROM c) - (SELECT coalesce(sum(n), 0) FROM k))"
 
 
-def vocab(spark, folder):
-    return J.vocabulary(lines(spark, folder), 5, 2000)
+def vocab(spark, folder, size=2000):
+    return J.vocabulary(lines(spark, folder), 5, size)
 
 
 @query(f"{_LINES} SELECT idx::BIGINT AS idx, word, n::BIGINT AS count FROM v")
-def vocabulary(spark, folder):
-    return vocab(spark, folder)
+def vocabulary(spark, folder, size=2000):
+    return vocab(spark, folder, size)
 
 
 _POS = f"{_LINES}, p AS (SELECT line_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS word FROM l)"
 
 
 @query(f"{_POS} SELECT line_id, count(*) AS n, sum(coalesce(v.idx, 0))::BIGINT AS total FROM p LEFT JOIN v ON v.word = p.word AND v.idx > 0 GROUP BY 1")
-def encode(spark, folder):
-    return J.encode(lines(spark, folder), vocab(spark, folder)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
+def encode(spark, folder, size=2000):
+    return J.encode(lines(spark, folder), vocab(spark, folder, size)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
 
 
 _IDS = f"{_POS}, i AS (SELECT line_id, v.idx, row_number() OVER (PARTITION BY line_id ORDER BY pos) - 1 AS pos, count(*) OVER (PARTITION BY line_id) AS n FROM p JOIN v ON v.word = p.word AND v.idx > 0), g AS (SELECT * FROM i WHERE n > 1)"
 
 
 @query(f"{_IDS} SELECT line_id, count(*) AS n, sum(idx * (pos + 1))::BIGINT AS mix FROM g GROUP BY 1")
-def encode_drop_oov(spark, folder):
-    ids = J.known_ids(lines(spark, folder), vocab(spark, folder)).select("line_id", F.posexplode("ids").alias("pos", "idx"))
+def encode_drop_oov(spark, folder, size=2000):
+    ids = J.known_ids(lines(spark, folder), vocab(spark, folder, size)).select("line_id", F.posexplode("ids").alias("pos", "idx"))
     return ids.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idx") * (F.col("pos") + 1)).alias("mix"))
 
 
 @query(f"{_IDS} SELECT a.idx::BIGINT AS centre, b.idx::BIGINT AS context, count(*) AS n FROM g a JOIN g b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY 1, 2")
-def skipgram_pairs_static(spark, folder):
-    return J.skipgram(J.known_ids(lines(spark, folder), vocab(spark, folder)), 2).groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
+def skipgram_pairs_static(spark, folder, size=2000):
+    return J.skipgram(J.known_ids(lines(spark, folder), vocab(spark, folder, size)), 2).groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_IDS} SELECT a.line_id, a.pos::INTEGER AS pos, count(*) AS n, sum(b.idx)::BIGINT AS total FROM g a JOIN g b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY 1, 2")
-def cbow_contexts_static(spark, folder):
-    c = J.cbow(J.known_ids(lines(spark, folder), vocab(spark, folder)), 2)
+def cbow_contexts_static(spark, folder, size=2000):
+    c = J.cbow(J.known_ids(lines(spark, folder), vocab(spark, folder, size)), 2)
     return c.select("line_id", "pos", F.size("context").cast("long").alias("n"), F.aggregate("context", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query(f"{_LINES} SELECT idx::BIGINT AS idx, word, round(pow(n, 0.75) / sum(pow(n, 0.75)) OVER (), 9) AS probability FROM v")
-def noise_distribution(spark, folder):
-    return J.noise(vocab(spark, folder)).select("idx", "word", r("probability", 9).alias("probability"))
+def noise_distribution(spark, folder, size=2000):
+    return J.noise(vocab(spark, folder, size)).select("idx", "word", r("probability", 9).alias("probability"))
 
 
 @query(f"{_LINES} SELECT idx::BIGINT AS idx, word, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, sqrt(1e-5 * sum(n) OVER () / n)) END, 9) AS keep FROM v")
-def keep_probability(spark, folder):
-    return J.keep_probability(vocab(spark, folder)).select("idx", "word", r("keep", 9).alias("keep"))
+def keep_probability(spark, folder, size=2000):
+    return J.keep_probability(vocab(spark, folder, size)).select("idx", "word", r("keep", 9).alias("keep"))
 
 
 @query(f"{_LINES} SELECT line_id, least(len(tokens), 5000 - before)::BIGINT AS n FROM (SELECT line_id, tokens, coalesce(sum(len(tokens)) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) WHERE before < 5000 AND len(tokens) > 0")
@@ -409,8 +410,8 @@ def mean_pool(spark, folder):
 
 
 @query(f"{_LINES} SELECT word, round(1e-3 / (1e-3 + n / sum(n) OVER ()), 9) AS weight FROM v")
-def sif_weights(spark, folder):
-    return V.sif_weights(vocab(spark, folder)).select("word", r("weight", 9).alias("weight"))
+def sif_weights(spark, folder, size=2000):
+    return V.sif_weights(vocab(spark, folder, size)).select("word", r("weight", 9).alias("weight"))
 
 
 @query("SELECT c AS c_custkey, row_number() OVER (ORDER BY n DESC, c) AS idx FROM (SELECT o_custkey::VARCHAR AS c, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5)")
@@ -426,3 +427,10 @@ def walk_forward(spark, folder):
 @query()
 def bootstrap_ci(spark, folder):
     return G.bootstrap_bands(aged(spark, folder), "hours", F.hour("ts"), value(), "event_id", 100)
+
+
+#: The reference's size of a vocabulary. The queries above hold 2000 words, as their SQL says; these hold all of them.
+WORDS = 100_000
+for _name in ("vocabulary", "encode", "encode_drop_oov", "skipgram_pairs_static", "cbow_contexts_static", "noise_distribution", "keep_probability", "sif_weights"):
+    QUERIES[f"{_name}_100k"] = partial(QUERIES[_name], size=WORDS)
+    ORACLES[f"{_name}_100k"] = ORACLES[_name].replace("idx <= 1999", f"idx <= {WORDS - 1}")
