@@ -7,9 +7,10 @@ the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash_dedup, packing, quality, spans
-from tidemark.llm.common import written
+from tidemark.llm.common import free, written
 from tidemark.llm.queries import table, vocabulary
 
 
@@ -25,7 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of 50 words or more that a document with a smaller id has are cut out; a document left without text goes."""
-    return spans.remove_repeats(docs).where("text <> '' OR n_chars = 0") if "n_chars" in docs.columns else spans.remove_repeats(docs)
+    (had,) = free(docs, "_had")
+    cut = spans.remove_repeats(docs.withColumn(had, F.coalesce(F.col("text") != "", F.lit(False))))
+    return cut.where(~(F.col(had) & (F.col("text") == ""))).drop(had)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

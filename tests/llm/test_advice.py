@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+import corpus_pipeline
 from tidemark import catalog, catalog_models  # noqa: F401 - the second adds its queries to the first
 from tidemark.llm import quality
 from tidemark.llm import queries as Q
@@ -38,3 +39,12 @@ def test_whole_vocabularies(spark):
     assert "idx <= 99999" in catalog.ORACLES["encode_100k"] and "LIMIT 50000)" in catalog.ORACLES["tfidf_weights_50k"]
     words = catalog.QUERIES["vocabulary_100k"](spark, "/root/testdata/sf0.1")
     assert words.where("idx > 0").count() == 8913
+
+
+def test_only_emptied_rows_go(spark):
+    shared = " ".join(prose(1, 80))
+    rows = [(1, shared, 5), (2, shared, 5), (3, None, None), (4, "", None), (5, "", 7), (6, "few words", 9)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    for d in (documents, documents.drop("n_chars")):
+        got = corpus_pipeline.substring_dedup(spark, d, SF)
+        assert got.columns == d.columns and {r.doc_id for r in got.collect()} == {1, 3, 4, 5, 6}
