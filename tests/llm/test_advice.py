@@ -48,3 +48,8 @@ def test_only_emptied_rows_go(spark):
     for d in (documents, documents.drop("n_chars")):
         got = corpus_pipeline.substring_dedup(spark, d, SF)
         assert got.columns == d.columns and {r.doc_id for r in got.collect()} == {1, 3, 4, 5, 6}
+
+
+def test_errors_read_all_events(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert catalog.QUERIES["rmse_mae_all"](spark, SF).first().n == n > catalog.QUERIES["rmse_mae"](spark, SF).first().n

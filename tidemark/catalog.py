@@ -360,13 +360,25 @@ def micro_jaccard(spark, folder):
 _PRED = "(SELECT event_id, value AS predicted, ln(1 + value) * 100 AS actual FROM events WHERE event_type = 'view')"
 
 
+def predicted_all(spark, folder):
+    return events(spark, folder).select("event_id", F.col("value").alias("predicted"), (value() * 100).alias("actual"))
+
+
 def predicted(spark, folder):
     return events(spark, folder).where("event_type = 'view'").select("event_id", F.col("value").alias("predicted"), (value() * 100).alias("actual"))
 
 
 @query(f"SELECT round(sqrt(avg((predicted - actual) ** 2)), 6) AS rmse, round(avg(abs(predicted - actual)), 6) AS mae, count(*) AS n FROM {_PRED}")
-def rmse_mae(spark, folder):
-    return R.errors(predicted(spark, folder), "predicted", "actual").select(r("rmse").alias("rmse"), r("mae").alias("mae"), "n")
+def rmse_mae(spark, folder, rows=predicted):
+    return R.errors(rows(spark, folder), "predicted", "actual").select(r("rmse").alias("rmse"), r("mae").alias("mae"), "n")
+
+
+_EVERY = _PRED.replace(" WHERE event_type = 'view'", "")
+
+
+@query(ORACLES["rmse_mae"].replace(_PRED, _EVERY))
+def rmse_mae_all(spark, folder):
+    return rmse_mae(spark, folder, predicted_all)
 
 
 @query("SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS rank FROM lineitem")
@@ -380,8 +392,13 @@ def spearman(spark, folder):
 
 
 @query(f"WITH p AS (SELECT * FROM {_PRED}), t AS (SELECT min(actual) AS least FROM (SELECT actual FROM p ORDER BY actual DESC LIMIT 100)) SELECT count(*) FILTER (actual >= least) / 100.0::DOUBLE AS precision FROM (SELECT actual FROM p ORDER BY predicted DESC, event_id LIMIT 100), t")
-def precision_at_k(spark, folder):
-    return R.precision_at_k(predicted(spark, folder), "predicted", "actual", "event_id", 100)
+def precision_at_k(spark, folder, rows=predicted):
+    return R.precision_at_k(rows(spark, folder), "predicted", "actual", "event_id", 100)
+
+
+@query(ORACLES["precision_at_k"].replace(_PRED, _EVERY))
+def precision_at_k_all(spark, folder):
+    return precision_at_k(spark, folder, predicted_all)
 
 
 _SIM = "SELECT q.vec_id AS query, e.vec_id AS id, e.label, q.label AS own, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
@@ -426,7 +443,7 @@ def walk_forward(spark, folder):
 
 @query()
 def bootstrap_ci(spark, folder):
-    return G.bootstrap_bands(aged(spark, folder), "hours", F.hour("ts"), value(), "event_id", 100)
+    return G.bootstrap_bands(aged(spark, folder), "hours", F.hour("ts"), value(), "event_id")
 
 
 #: The reference's size of a vocabulary. The queries above hold 2000 words, as their SQL says; these hold all of them.
