@@ -154,16 +154,19 @@ def _pack(path: str, blanks: bool, sequence: int, with_ids: bool):
             made["doc_id"] = made["doc_id"].astype("Int64")
             return made
 
-        for frame in frames:
-            for doc, text, serial in zip(frame["doc_id"], frame["text"], frame["serial"], strict=True):
-                base = serial if base is None else base
-                held.append((doc, own.document(text)))
-                size += len(held[-1][1])
-                if size >= WINDOW:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+        try:
+            for frame in frames:
+                for doc, serial, ids in zip(frame["doc_id"], frame["serial"], own.documents(frame["text"].tolist()), strict=True):
+                    base = serial if base is None else base
+                    held.append((doc, ids))
+                    size += len(ids)
+                    if size >= WINDOW:
+                        yield out()
+                        held, size = [], 0
+            if held:
+                yield out()
+        finally:
+            own.clear()
 
     return run
 

@@ -1,136 +1,159 @@
 """Encoding with files of the tokenizers library.
 
 Most words of a corpus occur often, and neither tokenizer used here joins anything across the start of a
-run of blanks. So a text is cut there, each distinct piece is encoded once by the library, and a worker keeps the ids of the
-pieces it has met. Texts in which that cut would not be exact are encoded whole.
+run of blanks, or between a letter and a mark after it. So texts are cut there, each distinct piece is encoded once by the library,
+and a worker keeps the ids of the pieces it has met. Texts in which that cut would not be exact are encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
+from .runs import BLANK, LOWER, Buffer, Met, Rows, batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Fixed values. ASCII blanks; and the other white space of Unicode.
-_PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_ODD_BLANK = re.compile("[\x85\xa0  -     　][ \t\n\r\x0b\x0c]")
-#: Pieces that a worker keeps; about 220 bytes each.
-KNOWN = 700_000
+#: Fixed values. White space of Unicode beside the ASCII blanks, before one of those.
+_ODD_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \t\n\r\x0b\x0c]")
+#: Pieces that a worker keeps while a task runs; about 60 bytes each.
+KNOWN = 400_000
 #: Fixed values. Both tokenizers split between a letter and these, so what precedes them is encoded apart.
-_MARKS, _LETTERS = b".,;:!?|%$#&*", frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARK = np.isin(np.arange(256), list(b".,;:!?|%$#&*"))
+_LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 END = 2
 #: Byte-level vocabularies write a byte that prints as that character, and the others, in order, from U+0100 on.
 _PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+#: The same as a table of 256 characters; a line break stays itself and stands between words.
+_AS_CHARS = "".join("\n" if b == 10 else chr(_BYTE_CHARS.get(b, b)) for b in range(256))
+#: Words that go to the library in one text.
+_LINES = 4096
 
 
 class Encoder:
     """Ids of whole texts, with add_special_tokens=False. blanks: whether the tokenizer gives ids to blanks."""
 
     def __init__(self, path: str, blanks: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.blanks = Tokenizer.from_file(path), blanks
         self.library.encode_special_tokens = True
-        self.model = self.library.model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.again = np.zeros(1 << 16, bool)  # pieces met again after the text that brought them
+        # The model alone, for words that the steps before it would leave as they are: one word a line.
+        self.lines = Tokenizer(self.library.model)
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        names = map(self.library.id_to_token, range(self.library.get_vocab_size()))
+        self.width = np.array([len((x or "").removesuffix(suffix)) for x in names])  # bytes that a token stands for
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the pieces."""
+        self.met, self.ids, self.again = Met(KNOWN), Rows(np.uint32), np.zeros(2 * KNOWN, bool)
 
     def _thin(self) -> None:
-        """Keeps the pieces that were met again."""
-        again, kept = self.again, [p for p, i in self.at.items() if self.again[i]]
-        at = np.flatnonzero(again[: len(self.at)])
-        flat, sizes = self._gather(at), self.size[at]
-        self._clear()
-        if len(kept) < KNOWN // 2:
-            self._add(kept, flat, sizes)
-
-    def _add(self, pieces: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, k = len(self.at), len(pieces)
-        while n + k > len(self.start):
-            self.start, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.again))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + k] = sizes
-        self.start[n : n + k] = self.used + np.cumsum(sizes) - sizes
-        self.at.update(zip(pieces, range(n, n + k), strict=True))
-        self.used += len(flat)
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        """The ids of some pieces, one after the other."""
-        size = self.size[at]
-        out = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        return self.ids[out + np.arange(len(out))]
+        """Keeps the pieces that were met again after the texts that brought them."""
+        keep = np.flatnonzero(self.again[: self.met.count])
+        keep = keep if len(keep) < KNOWN // 2 else keep[:0]
+        (one, two), flat, sizes = self.met.keys(), self.ids.gather(keep), self.ids.size[keep]
+        self.clear()
+        self.met.add(one[keep], two[keep])
+        self.ids.add(flat, sizes)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, w: str) -> bool:
+    def _plain(self, w: bytes) -> bool:
         """Lower-case Latin letters, composed, with one blank before them at most if blanks count: one word for the tokenizer."""
-        letters = w.removeprefix(" ") if self.blanks else w
+        letters = w.decode("utf-8", "replace").removeprefix(" ") if self.blanks else w.decode("utf-8", "replace")
         return letters.isalpha() and max(letters) < "\u0250" and (self.blanks or letters == letters.lower())
 
-    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """A word and the marks after it; the tokenizer without blanks lowers case, so ASCII words are lowered here already."""
-        word = piece.rstrip(_MARKS)
-        if not word or word[-1] not in _LETTERS:
-            return (piece,)
-        marks = piece[len(word) :]
-        if not self.blanks and word.isascii():
-            word = word.lower()
-        return (word, marks) if marks else (word,)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        parts = list(map(self._parts, pieces))
-        new = list({x for row in parts for x in row if x not in self.at})
-        text = [x.decode() for x in new]
-        plain = list(map(self._plain, text))
-        # What the steps before the model would leave as it is goes to the model at once.
-        tokenize = self.model.tokenize
-        ids = [[t.id for t in tokenize(x.decode("latin-1").translate(_BYTE_CHARS))] for x, p in zip(new, plain, strict=True) if p]
-        rest = [t for t, p in zip(text, plain, strict=True) if not p]
-        for i in range(0, len(rest), 4096):
-            ids += [e.ids for e in self.library.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False)]
-        order = [x for x, p in zip(new, plain, strict=True) if p] + [x for x, p in zip(new, plain, strict=True) if not p]
-        self._add(order, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-        both = [(p, row) for p, row in zip(pieces, parts, strict=True) if p not in self.at]
-        if both:
-            at = np.array([self.at[x] for _, row in both for x in row])
-            first = np.cumsum([0] + [len(row) for _, row in both[:-1]])
-            self._add([p for p, _ in both], self._gather(at), np.add.reduceat(self.size[at], first))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self.blanks and _ODD_BLANK.search(text):
-            return self._whole([text])[0]
-        raw = text.encode()
-        pieces = _PIECE.findall(raw) if self.blanks else raw.split()
-        if len(self.at) > KNOWN:
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for plain words. A token's bytes are known, so the ids of words in one text are told apart by their lengths."""
+        texts = [pieces[i : i + _LINES] for i in range(0, len(pieces), _LINES)]
+        lines = [codecs.charmap_decode(b"\n".join(x), "strict", _AS_CHARS)[0] for x in texts]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.lines.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        upto, ends = np.cumsum(self.width[flat]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(upto, ends)
+        if len(pieces) and (len(flat) == 0 or last[-1] != len(flat) - 1 or (upto[last] != ends).any()):
+            raise ValueError("tokens do not add up to the words they stand for")
+        return flat, np.diff(last, prepend=-1)
+
+    def _cut(self, text: Buffer) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces: blanks (if they count) and what follows them, marks after a letter apart."""
+        b = text.bytes[: text.size]
+        before = np.concatenate([[0], b[:-1]]) if len(b) else b
+        split = _MARK[b] & _LETTER[before]
+        blank, first = BLANK[b], text.first()
+        if self.blanks:
+            start = np.flatnonzero(first | split | (blank & ~BLANK[before]))
+            return start, np.append(start[1:], text.size)
+        start = np.flatnonzero(~blank & (first | split | BLANK[before]))
+        stop = blank & (~BLANK[before]) | split | first
+        return start, np.append(np.flatnonzero(stop), text.size)[np.searchsorted(np.flatnonzero(stop), start, "right")]
+
+    def _learn(self, text: Buffer, start: np.ndarray, end: np.ndarray) -> None:
+        """Ids of new pieces, in their order."""
+        other = np.concatenate([[0], np.cumsum(~_LETTER[text.bytes[: text.size]])])
+        odd = other[end] - other[start]
+        if self.blanks:
+            odd -= (text.bytes[start] == 32) & (end - start > 1)
+        pieces = [text.raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        plain = odd == 0
+        for i in np.flatnonzero(~plain).tolist():
+            plain[i] = self._plain(pieces[i])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        flat, sizes = self._words([pieces[i] for i in order[: plain.sum()].tolist()])
+        rest = [pieces[i].decode("utf-8", "surrogatepass") for i in order[plain.sum() :].tolist()]
+        ids = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+        found = Rows(np.uint32)
+        found.add(flat, sizes)
+        found.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        back = np.argsort(order, kind="stable")
+        self.ids.add(found.gather(back), found.size[back])
+
+    def _some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and how many each has."""
+        text = Buffer(texts)
+        start, end = self._cut(text)
+        if not self.blanks and len(start):  # the tokenizer lowers case; words of ASCII alone are lowered here already
+            wide = np.concatenate([[0], np.cumsum(text.bytes[: text.size] > 127)])
+            low, keep = LOWER[text.bytes], np.flatnonzero(wide[end] > wide[start])
+            size = end[keep] - start[keep]
+            at = np.repeat(start[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            low[at] = text.bytes[at]
+            text.bytes, text.raw = low, low.tobytes()
+        if self.met.count > KNOWN:
             self._thin()
-        known = len(self.at)
-        at = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._learn(list({pieces[i] for i in missing}))
-            at[missing] = [self.at[pieces[i]] for i in missing]
+        known = self.met.count
+        at, new = self.met.look_up(*text.hashes(start, end))
+        if len(new):
+            self._learn(text, start[new], end[new])
+        if self.met.count > len(self.again):
+            self.again = np.concatenate([self.again, np.zeros(self.met.count, bool)])
         self.again[at[at < known]] = True
-        return self._gather(at)
-
-    def document(self, text: str | None, end: int = END) -> np.ndarray:
-        return np.append(self.encode(text), np.uint32(end))
+        upto = np.concatenate([[0], np.cumsum(self.ids.size[at])])
+        numbers = text.per_text(start)
+        ends = np.cumsum(numbers)
+        return self.ids.gather(at), upto[ends] - upto[ends - numbers]
+
+    def documents(self, texts: list[str | None], end: int = END) -> Iterator[np.ndarray]:
+        """The ids of each text, and the end's after them."""
+        for some in batches(texts):
+            odd = {i for i, t in enumerate(some) if self.blanks and t and _ODD_BLANK.search(t)}
+            flat, sizes = self._some([None if i in odd else t for i, t in enumerate(some)])
+            at = 0
+            for i, n in enumerate(sizes.tolist()):
+                ids = self._whole([some[i]])[0] if i in odd else flat[at : at + n]
+                yield np.append(ids, np.uint32(end))
+                at += n
 
 
 @lru_cache(maxsize=2)
