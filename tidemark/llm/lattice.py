@@ -16,6 +16,8 @@ MARK = "▁"
 _STEP, _SPICE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Characters of words that are handled together.
 CHARS = 1 << 18
+#: Leading bits of a hash that say at once of most strings that they are no piece.
+SIEVE = 18
 
 
 class Pieces:
@@ -37,12 +39,14 @@ class Pieces:
         self.size, self.plain = n, plain
         self.longest = max(len(self.text[i]) for i in plain)
         self.crosses = any(MARK in self.text[i].lstrip(MARK) or "\n" in self.text[i] for i in plain)
-        self.table: list[tuple[np.ndarray, np.ndarray]] = []
+        self.table: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length in range(1, self.longest + 1):
             ids = np.array([i for i in plain if len(self.text[i]) == length], np.int64)
             h = self._hash(self._chars([self.text[i] for i in ids], length)) if len(ids) else np.zeros(0, np.uint64)
             order = np.argsort(h)
-            self.table.append((h[order], ids[order]))
+            maybe = np.zeros(1 << SIEVE, bool)
+            maybe[h >> np.uint64(64 - SIEVE)] = True
+            self.table.append((h[order], ids[order], maybe))
         self.scores = self._file_scores()
         self.index = {self.text[i]: i for i in plain}
 
@@ -77,12 +81,15 @@ class Pieces:
         for length in range(1, min(n, self.longest) + 1):
             h = (h[:, : n - length + 1] ^ (chars[:, length - 1 :].astype(np.uint64) * _SPICE)) * _STEP
             h ^= h >> np.uint64(31)
-            keys, ids = self.table[length - 1]
+            keys, ids, maybe = self.table[length - 1]
+            found = np.full(h.shape, -1)
             if not len(keys):
-                out.append(np.full(h.shape, -1))
+                out.append(found)
                 continue
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            found = np.where(keys[at] == h, ids[at], -1)
+            some = maybe[h >> np.uint64(64 - SIEVE)]
+            asked = h[some]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            found[some] = np.where(keys[at] == asked, ids[at], -1)
             if length == 1:
                 found = np.where(found < 0, -2 - chars.astype(np.int64), found)
             out.append(found)
@@ -185,7 +192,11 @@ def expected(p: Pieces, words: list[str], counts: np.ndarray, scores: np.ndarray
 
 
 def astar(p: Pieces, word: str, scores: np.ndarray, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations, from the end backwards; the forward Viterbi score of a place is exactly what is still to come."""
+    """The n best segmentations, from the end backwards; the forward Viterbi score of a place is exactly what is still to come.
+
+    Among equals the one that has come furthest goes first. The n best hold at most n ways from a place to the end, so
+    a place is left at most n times, and the search ends after n times the places however many segmentations tie.
+    """
     n = len(word)
     into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
     ahead = [0.0] + [-np.inf] * n
@@ -200,10 +211,13 @@ def astar(p: Pieces, word: str, scores: np.ndarray, n_best: int) -> list[tuple[f
                 continue
             into[j].append(edge)
             ahead[j] = max(ahead[j], ahead[i] + edge[1])
-    agenda: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], 0, n, 0.0, ())]
-    out, pushed = [], 0
+    agenda: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], n, 0, 0.0, ())]
+    out, pushed, left = [], 0, [n_best] * (n + 1)
     while agenda and len(out) < n_best:
-        _, _, at, score, tail = heapq.heappop(agenda)
+        _, at, _, score, tail = heapq.heappop(agenda)
+        if not left[at]:
+            continue
+        left[at] -= 1
         if at == 0:
             ids: list[int] = []
             while tail:
@@ -212,13 +226,14 @@ def astar(p: Pieces, word: str, scores: np.ndarray, n_best: int) -> list[tuple[f
             out.append((score, tuple(ids)))
             continue
         for i, w, ids in into[at]:
-            pushed += 1
-            heapq.heappush(agenda, (-(score + w + ahead[i]), pushed, i, score + w, (ids, tail)))
+            if left[i]:
+                pushed += 1
+                heapq.heappush(agenda, (-(score + w + ahead[i]), i, pushed, score + w, (ids, tail)))
     return out
 
 
-def viterbi(p: Pieces, words: list[str], scores: np.ndarray) -> Iterator[tuple[int, float, float, list[int]]]:
-    """For each word: its place in the list, the best score, how much less the second best has, and the best ids.
+def viterbi(p: Pieces, words: list[str], scores: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some words at a time: their places in the list, the best scores, how much less the second best have, the best ids one word after the other, and their numbers.
 
     A second-best path uses an edge that the best does not; so its score is the most that such an edge can reach.
     """
@@ -235,20 +250,22 @@ def viterbi(p: Pieces, words: list[str], scores: np.ndarray) -> Iterator[tuple[i
             live = here > 0
             reach = np.full((len(weights), len(group)), -np.inf)
             for k, w in enumerate(weights, 1):
-                use = live & (here >= k)
-                reach[k - 1, use] = a[here[use] - k, rows[use]] + w[rows[use], here[use] - k]
+                use = np.flatnonzero(here >= k)
+                reach[k - 1, use] = a[here[use] - k, use] + w[use, here[use] - k]
             step = reach.argmax(axis=0) + 1
             for k in range(1, len(weights) + 1):
-                use = live & (step == k)
-                if use.any():
+                use = np.flatnonzero(live & (step == k))
+                if len(use):
                     start = here[use] - k
-                    taken.append((rows[use], start, edges[k - 1][rows[use], start]))
-                    through[k - 1][rows[use], start] = -np.inf
+                    taken.append((rows[use], start, edges[k - 1][use, start]))
+                    through[k - 1][use, start] = -np.inf
             here = np.where(live, here - step, here)
         second = np.max([t.max(axis=1) for t in through], axis=0)
         r, s, e = (np.concatenate(x) for x in zip(*taken, strict=True))
         order = np.lexsort((s, r))
-        paths = np.split(e[order], np.cumsum(np.bincount(r, minlength=len(group)))[:-1])
-        for i, path in enumerate(paths):
-            ids = path.tolist() if (path >= 0).all() else [x for c in path.tolist() for x in ([c] if c >= 0 else p.spell(-2 - c).tolist())]
-            yield at[i], a[n, i], a[n, i] - second[i], ids
+        ids, r = e[order], r[order]
+        if (ids < 0).any():  # characters spelled in bytes
+            spelled = [(x,) if x >= 0 else p.spell(-2 - x) for x in ids.tolist()]
+            r = np.repeat(r, np.fromiter(map(len, spelled), np.int64, len(spelled)))
+            ids = np.concatenate(spelled)
+        yield at, a[n], a[n] - second, ids, np.bincount(r, minlength=len(group))

@@ -8,14 +8,13 @@ and combined, best first.
 
 A task keeps the best segmentation of stretches it has met, up to KNOWN of them; nothing is shuffled.
 
-Defined results: a null text is empty (one blank); ties go to the segmentation found first; rows with an equal doc_id are
+Defined results: a null text is empty (one blank); the best segmentation is the forward pass's, and ties after it go to the one that A-star finds first; rows with an equal doc_id are
 segmented each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import MARK, Pieces, astar, pieces, viterbi
+from .runs import Buffer, Met, Rows, batches
 
-N_BEST, KNOWN = 4, 1_000_000
-_STRETCH = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+N_BEST, KNOWN, OPTIONS, LONG = 4, 400_000, 20_000, 1000
 
 
 class Segmenter:
@@ -35,74 +34,109 @@ class Segmenter:
         if vocabulary.crosses:
             raise ValueError("a piece of this vocabulary crosses a mark or a line break")
         self.p, self.n_best = vocabulary, n_best
-        self._clear()
+        self.raw = Rows(np.uint8)
+        self.raw.add(np.frombuffer(b"".join(vocabulary.raw), np.uint8), np.fromiter(map(len, vocabulary.raw), np.int64))
+        self.clear()
 
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.int32)]
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.score, self.loss, self.again = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16, bool)
-        self.more: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+    def clear(self) -> None:
+        """Forgets the stretches."""
+        self.met, self.ids = Met(KNOWN), Rows(np.int32)
+        self.score, self.loss, self.again = np.zeros(2 * KNOWN), np.zeros(2 * KNOWN), np.zeros(2 * KNOWN, bool)
+        self.more: dict[bytes, list[tuple[float, np.ndarray]]] = {}
 
     def _thin(self) -> None:
-        """Keeps the stretches that were met again."""
-        old, flat, start, size, score, loss, again = self.at, self.flat, self.start, self.size, self.score, self.loss, self.again
-        self._clear()
-        keep = [(w, i) for w, i in old.items() if again[i]]
-        for w, i in keep if len(keep) < KNOWN // 2 else ():
-            self._keep(w, score[i], loss[i], flat[start[i] : start[i] + size[i]])
-
-    def _keep(self, w: str, score: float, loss: float, ids) -> None:
-        n = len(self.at)
-        if n == len(self.start):
-            self.start, self.size, self.score, self.loss, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.score, self.loss, self.again))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[w], self.start[n], self.size[n], self.score[n], self.loss[n] = n, self.used, len(ids), score, loss
-        self.used += len(ids)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Viterbi for all new stretches of some texts together."""
-        if len(self.at) > KNOWN:
-            self._thin()
-        new = [w for w in set().union(*texts) if w not in self.at]
-        for i, score, loss, ids in viterbi(self.p, new, self.p.scores):
-            self._keep(new[i], score, loss, ids)
+        """Keeps the stretches that were met again after the texts that brought them."""
+        keep = np.flatnonzero(self.again[: self.met.count])
+        keep = keep if len(keep) < KNOWN // 2 else keep[:0]
+        (one, two), flat, sizes, score, loss = self.met.keys(), self.ids.gather(keep), self.ids.size[keep], self.score[keep], self.loss[keep]
+        self.clear()
+        self.met.add(one[keep], two[keep])
+        self._keep(0, flat, sizes, score, loss)
+
+    def _keep(self, first: int, flat: np.ndarray, sizes: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
+        last = first + len(sizes)
+        if last > len(self.score):
+            self.score, self.loss, self.again = (np.concatenate([x, np.zeros(last, x.dtype)]) for x in (self.score, self.loss, self.again))
+        self.score[first:last], self.loss[first:last] = score, loss
+        self.ids.add(flat, sizes)
+
+    def _learn(self, first: int, new: list[str]) -> None:
+        """The best segmentations of new stretches, which are numbered from first on: the usual ones together, very long ones by A-star alone."""
+        found, order, score, loss = Rows(np.int32), [], np.zeros(len(new)), np.zeros(len(new))
+        usual = [i for i, w in enumerate(new) if len(w) <= LONG]
+        for at, best, lost, ids, sizes in viterbi(self.p, [new[i] for i in usual], self.p.scores):
+            at = [usual[i] for i in at]
+            score[at], loss[at] = best, lost
+            found.add(ids, sizes)
+            order += at
+        for i in sorted(set(range(len(new))) - set(usual)):
+            two = astar(self.p, new[i], self.p.scores, max(2, self.n_best))
+            score[i], loss[i] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
+            found.add(np.array(two[0][1], np.int32), np.array([len(two[0][1])]))
+            order.append(i)
+        back = np.argsort(order, kind="stable")
+        self._keep(first, found.gather(back), found.size[back], score, loss)
 
     @staticmethod
-    def stretches(text: str | None) -> list[str]:
-        return _STRETCH.findall(MARK + (text or "").replace(" ", MARK))
-
-    def segment(self, parts: list[str]) -> tuple[np.ndarray, float, list[tuple[float, np.ndarray]]]:
-        """For the stretches of a text, learned before: the best ids, their score, and all of the n best."""
-        at = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-        size = self.size[at]
-        self.again[at] = True
-        gather = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        ids = self.flat[gather + np.arange(len(gather))]
-        total = float(self.score[at].sum())
-        few = min(self.n_best - 1, len(parts))
+    def _cut(text: Buffer) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of stretches: blanks and what follows them, line breaks apart."""
+        b = text.bytes[: text.size]
+        before = np.concatenate([[0], b[:-1]]) if len(b) else b
+        start = np.flatnonzero(text.first() | (b == 10) | (before == 10) | ((b == 32) & (before != 32)))
+        return start, np.append(start[1:], text.size)
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, float, list[tuple[float, np.ndarray]], bool]]:
+        """For each text: the best ids, their score, all of the n best, and whether each of them decodes to the text."""
+        for some in batches(texts):
+            # The mark and a blank are one in this vocabulary.
+            text = Buffer([" " + (t or "").replace(MARK, " ") for t in some])
+            start, end = self._cut(text)
+            if self.met.count > KNOWN:
+                self._thin()
+            known = self.met.count
+            at, new = self.met.look_up(*text.hashes(start, end))
+            if len(new):
+                self._learn(known, [self._string(text.raw[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            self.again[at[at < known]] = True
+            low = before = 0
+            for n, stop in zip(text.per_text(start).tolist(), text.ends.tolist(), strict=True):
+                own = at[low : low + n]
+                ids, score, found = self._text(own, start[low : low + n], end[low : low + n], text.raw)
+                whole = text.raw[before:stop]
+                decodes = all(self.raw.gather(x).tobytes() == whole for _, x in found)
+                low, before = low + n, stop
+                yield ids, score, found, decodes
+
+    @staticmethod
+    def _string(raw: bytes) -> str:
+        return raw.decode("utf-8", "surrogatepass").replace(" ", MARK)
+
+    def _text(self, at: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, float, list[tuple[float, np.ndarray]]]:
+        ids, total = self.ids.gather(at), float(self.score[at].sum())
+        few = min(self.n_best - 1, len(at))
         near = np.sort(np.argpartition(self.loss[at], few - 1)[:few]) if few else np.zeros(0, int)
-        options = [self._options(parts[i]) for i in near]
-        ends = np.cumsum(size)
-        out = []
-        for lost, choice in combine([[options[j][0][0] - s for s, _ in options[j]] for j in range(len(near))], self.n_best):
+        options = [self._options(raw[start[i] : end[i]], self.ids.gather(at[i : i + 1])) for i in near]
+        size = self.ids.size[at].astype(np.int64)
+        ends, out = np.cumsum(size), []
+        for lost, choice in combine([[o[0][0] - s for s, _ in o] for o in options], self.n_best):
             made, last = [], 0
             for i, option, c in zip(near, options, choice, strict=True):
                 if c:
-                    made += [ids[last : ends[i] - size[i]], np.array(option[c][1], np.int32)]
+                    made += [ids[last : ends[i] - size[i]], option[c][1]]
                     last = ends[i]
             out.append((total - lost, np.concatenate([*made, ids[last:]])))
         return ids, total, out
 
-    def _options(self, w: str) -> list[tuple[float, tuple[int, ...]]]:
-        if w not in self.more:
-            if len(self.more) > 20_000:
+    def _options(self, stretch: bytes, best: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """The n best of a stretch, of which the first is the forward pass's; among ties A-star may have put another there."""
+        if stretch not in self.more:
+            if len(self.more) > OPTIONS:
                 self.more.clear()
-            self.more[w] = astar(self.p, w, self.p.scores, self.n_best)
-        return self.more[w]
+            found = astar(self.p, self._string(stretch), self.p.scores, self.n_best)
+            first = tuple(best.tolist())
+            found = [(found[0][0], first), *[x for x in found if x[1] != first]][: self.n_best]
+            self.more[stretch] = [(s, np.array(x, np.int32)) for s, x in found]
+        return self.more[stretch]
 
 
 def combine(losses: list[list[float]], n: int) -> Iterator[tuple[float, tuple[int, ...]]]:
@@ -127,22 +161,15 @@ def segment(documents: DataFrame, model: str, n_best: int = N_BEST, with_ids: bo
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Segmenter(pieces(model), n_best)
         for frame in frames:
-            for low in range(0, len(frame), 2000):
-                some = frame.iloc[low : low + 2000]
-                texts = [x or "" for x in some["text"]]
-                parts = [own.stretches(t) for t in texts]
-                own.learn(parts)
-                rows = []
-                for doc, text, stretches in zip(some["doc_id"], texts, parts, strict=True):
-                    ids, score, all_ = own.segment(stretches)
-                    text = text.replace(MARK, " ")  # the mark and a blank are one in this vocabulary
-                    crc = 0
-                    for _, x in all_:
-                        crc = zlib.crc32(x.astype("<u4").tobytes(), crc)
-                    rows.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, [s for s, _ in all_], crc, own.p.decode(ids) == text, *([ids] if with_ids else [])))
-                made = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "score", "scores", "nbest_crc32", "decodes", *(["ids"] if with_ids else [])])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
+            rows = []
+            for doc, (ids, score, found, decodes) in zip(frame["doc_id"], own.documents(frame["text"].tolist()), strict=True):
+                crc = 0
+                for _, x in found:
+                    crc = zlib.crc32(x.astype("<u4").tobytes(), crc)
+                rows.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, [s for s, _ in found], crc, decodes, *([ids] if with_ids else [])))
+            made = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "score", "scores", "nbest_crc32", "decodes", *(["ids"] if with_ids else [])])
+            made["doc_id"] = made["doc_id"].astype("Int64")
+            yield made
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, score double, scores array<double>, nbest_crc32 long, decodes boolean" + (", ids array<int>" if with_ids else ""))
