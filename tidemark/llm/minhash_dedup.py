@@ -17,8 +17,8 @@ So no link between components is lost, and a group of many near copies costs row
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text of fewer
 words than a shingle is one shingle; texts of any length are read whole; rows with an equal doc_id are
-each given a result by their own text (in the pipeline's stage, one row of them stays); rows without doc_id link with
-nothing and are kept; an empty table gives no rows; other columns are ignored.
+each given a result by their own text, in links and in components too (in the pipeline's stage one row of a component stays, and of rows without
+words all); rows without doc_id link with nothing and are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, in_groups, pairs
-from .common import components, free, written
-from .spans import _mixed, _odd, grams, word_hashes
+from .common import components, free, giving_back, written
+from .runs import mixed
+from .spans import grams, odd, words_of
 
 SHINGLE, SYMBOLS, BITS, ERRORS, MISS, SEED = 5, 32, 16, 1, 2e-5, 23
 BLOCK = 512
@@ -56,12 +57,13 @@ def index_parts(distance: int, symbols: int = SYMBOLS, errors: int = ERRORS) ->
     return tuple(part for a, b in itertools.pairwise(cuts) for part in itertools.combinations(range(a, b), max(1, b - a - errors)))
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    h = word_hashes(text.encode().lower().split() if text else [])
-    if 0 < len(h) < n:
-        return _mixed((h * _odd(99, n)[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
-    return np.unique(grams(h, n, 6))
+def shingles(texts: list[str | None], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    for h in words_of(texts, lower=True):
+        if 0 < len(h) < n:
+            yield mixed((h * odd(99, n)[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
+        else:
+            yield np.unique(grams(h, n, 6))
 
 
 def signature(s: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,32 +71,33 @@ def signature(s: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.nda
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(s), 8192):
         least = np.minimum(least, (s[part : part + 8192, None] * factors + offsets).min(axis=0))
-    return (_mixed(least) & np.uint64(2**BITS - 1)).astype(np.uint16)
+    return (mixed(least) & np.uint64(2**BITS - 1)).astype(np.uint16)
 
 
 def _sign(n: int):
-    factors, offsets = _odd(SEED, SYMBOLS), _odd(SEED + 1, SYMBOLS)
+    factors, offsets = odd(SEED, SYMBOLS), odd(SEED + 1, SYMBOLS)
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for text in frame["text"]:
-                s = shingles(text, n)
+            for s in shingles(frame["text"].tolist(), n):
                 out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, factors, offsets).tobytes()) if len(s) else (0, None, None))
             rest = pd.DataFrame(out, columns=["n_shingles", "digest", "sig"])
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), rest], axis=1)
+            yield pd.concat([frame[["doc_id", "t"]].reset_index(drop=True), rest], axis=1)
 
     return run
 
 
 def _keys(parts: tuple[tuple[int, ...], ...]):
     """A key for each part of the index: a hash of the part's number and symbols."""
-    factor = _odd(SEED + 2, SYMBOLS)
+    factor = odd(SEED + 2, SYMBOLS)
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1).astype(np.uint64) + np.uint64(1)
-            keys = [_mixed((sig[:, p] * factor[list(p)]).sum(axis=1, dtype=np.uint64) + np.array([i], np.uint64) * factor[:1]) for i, p in enumerate(parts)]
+            keys = [mixed((sig[:, p] * factor[list(p)]).sum(axis=1, dtype=np.uint64) + np.array([i], np.uint64) * factor[:1]) for i, p in enumerate(parts)]
             yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), len(parts)), "key": np.stack(keys, axis=1).ravel().view(np.int64), "part": np.tile(np.arange(len(parts), dtype=np.int32), len(frame))})
 
     return run
@@ -123,14 +126,15 @@ def _near(distance: int):
 def _confirm(n: int, percent: int):
     """Pairs (a, b, text_a, text_b), in order of a, that are similar."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
         for frame in frames:
             use = []
             for a, x, y in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
                 if a != last:
-                    last, own = a, shingles(x, n)
-                use.append(similar(own, shingles(y, n), percent))
+                    last, own = a, next(shingles([x], n))
+                use.append(similar(own, next(shingles([y], n)), percent))
             yield frame.loc[use, ["a", "b"]]
 
     return run
@@ -178,7 +182,7 @@ def _across(n: int, percent: int, distance: int):
                     continue
                 for x in (i, j):
                     if node[x] not in sets:
-                        sets[node[x]] = shingles(frame["text"].iloc[x], n)
+                        sets[node[x]] = next(shingles([frame["text"].iloc[x]], n))
                 if similar(sets[node[i]], sets[node[j]], percent):
                     found.append((node[i], node[j]))
                     label[label == label[j]] = label[i]
@@ -187,20 +191,29 @@ def _across(n: int, percent: int, distance: int):
     return run
 
 
+def _components(documents: DataFrame, percent: int, n: int) -> DataFrame:
+    """For every row doc_id, t (which tells rows apart that share a doc_id), n_shingles, and source: the least (doc_id, t) of its component, null without one."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    signed = written(docs.mapInPandas(_sign(n), "doc_id long, t long, n_shingles long, digest binary, sig binary"))
+    classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("source"), F.any_value("sig").alias("sig"))
+    # Nodes are numbered: ids may repeat with unlike texts. The numbers are written, so they stay.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    label = components(find_links(docs, classes.select("node", "sig", "source"), percent, n))
+    label = written(label.unionAll(label.select("component", "component").distinct()))  # the least node has no row of its own
+    least = label.join(classes, "node").groupBy("component").agg(F.min("source").alias("source"))
+    joined = label.join(written(least), "component").select("node", F.col("source").alias("joined"))
+    found = classes.join(joined, "node", "left").select("digest", F.coalesce("joined", "source").alias("source"))
+    return signed.select("doc_id", "t", "n_shingles", "digest").join(written(found), "digest", "left").drop("digest")
+
+
 def near_documents(documents: DataFrame, percent: int = 85, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row: links of at least percent similarity."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInPandas(_sign(n), "doc_id long, n_shingles long, digest binary, sig binary"))
-    classes = written(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")))
-    links = find_links(docs, classes.select("node", "sig").dropDuplicates(["node"]), percent, n)
-    label = components(links)
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "node"), "digest", "left").join(label, "node", "left")
-    own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("source.doc_id", "doc_id"))
+    return _components(documents, percent, n).select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links (a, b) between nodes (node, sig) that join all that are linked."""
+    """Links (a, b) between nodes (node, sig, and the source (doc_id, t) of a text) that join all that are linked."""
     distance = apart(percent)
     keys = nodes.mapInPandas(_keys(index_parts(distance)), "node long, key long, part int")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -211,8 +224,9 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataF
     star = star.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     star = written(star.where(_near(distance)("sig_a", "sig_b")).select("a", "b"))
     # Of the texts only those that a round may compare; they are written once, and read by both rounds.
-    met = index.select("node").distinct()
-    texts = written(docs.join(met, docs["doc_id"] == met["node"]).select("node", "text").dropDuplicates(["node"]))
+    met = nodes.join(index.select("node").distinct(), "node", "left_semi").select("node", "source.doc_id", "source.t")
+    texts = written(docs.join(met, ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"]))
+    nodes = nodes.drop("source")
     sided = star.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     first = written(sided.sortWithinPartitions("a").mapInPandas(_confirm(n, percent), "a long, b long"))
     label = written(components(first))
@@ -225,10 +239,17 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataF
 
 
 def drop_near_documents(documents: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
-    """The documents, all columns, without those that have a smaller doc_id in their component."""
-    found = written(near_documents(documents, percent, n))
-    (name,) = free(documents, "_gone")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    left = documents.join(gone, documents["doc_id"].cast("long") == F.col(name), "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")) if repeated else left
+    """The documents, all columns, of each component the row with the least doc_id."""
+    found = written(_components(documents, percent, n).withColumn("first", F.coalesce(F.struct("doc_id", "t") == F.col("source"), F.lit(True))))
+    doc, t = free(documents, "_doc", "_t")
+    text = F.xxhash64(documents["text"].cast("string"))
+    gone = found.where("doc_id IS NOT NULL AND NOT first").select(F.col("doc_id").alias(doc), F.col("t").alias(t)).distinct()
+    left = documents.join(gone, (documents["doc_id"].cast("long") == F.col(doc)) & (text == F.col(t)), "left_anti")
+    # Rows alike in id and text are one component; where there are such, one of them stays.
+    alike = found.where("doc_id IS NOT NULL AND first AND source IS NOT NULL").groupBy("doc_id", "t").count().where("count > 1")
+    if not alike.limit(1).count():
+        return left
+    alike = written(alike.select(F.col("doc_id").alias(doc), F.col("t").alias(t)))
+    same = (documents["doc_id"].cast("long") == F.col(doc)) & (text == F.col(t))
+    once = left.join(alike, same, "left_semi").withColumn(t, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", t]).drop(t)
+    return left.join(alike, same, "left_anti").unionByName(once)
