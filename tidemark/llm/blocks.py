@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 BLOCK, PAIRS = 1024, 200_000
 
 
@@ -33,6 +35,7 @@ def cells(rows: DataFrame, bucket: list[str], node: str, block: int = BLOCK) ->
 def in_groups(df: DataFrame, keys: list[str], body: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """body(frame, starts) over frames of whole groups; starts: the first row of each. Many small groups share a frame."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for frame in frames:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import in_order, offsets, shared_folder, written
+from .common import giving_back, in_order, offsets, shared_folder, written
 from .tokens import END, crc32_joined, encoder
 
 #: Ids that the rolling hash covers; a chunk has this many ids at least (but for a document's last), about MEAN more, and at most MOST.
@@ -97,6 +97,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _encode(path: str, blanks: bool, width: int):
     """Rows of chunks (digest, ids) and of recipes (a key of their own, doc_id, chunks, lengths). A task gives each chunk once while it remembers it."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, seen = encoder(path, blanks), set()
 
@@ -173,6 +174,7 @@ def _parts(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def _check_chunks(width: int):
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -186,6 +188,7 @@ def _check_chunks(width: int):
     return run
 
 
+@giving_back
 def _join_crcs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From each document's verified chunks, in order: the root again and the CRC of the whole."""
     for frame in frames:
@@ -236,6 +239,7 @@ def documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     uses = _recipes(spark, path).select("doc_id", "start", F.explode("names").alias("x")).select("doc_id", "start", "x.i", "x.name")
     found = uses.join(_parts(spark, path, "chunk").select("name", "ids"), "name", "left").groupBy("start").agg(F.any_value("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("found"))
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if any(x["ids"] is None for f in frame["found"] for x in f):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, in_groups, least_joined, pairs
-from .common import components, written
+from .common import components, giving_back, written
 
 THRESHOLD, RECALL = 0.9, 0.99
 SCREEN_BITS, SCREEN_SIGMAS, SEED = 128, 5.0, 11
@@ -73,6 +73,7 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _hash(signs: Signs):
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, part in frame.groupby(frame["vector"].map(len)):

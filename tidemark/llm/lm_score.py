@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import giving_back, words, written
 from .lattice import MARK, expected, marginals, pieces
 
 HOT, STEPS, SMOOTH = 150_000, 2, 0.1
@@ -45,6 +45,7 @@ def fit(counts: DataFrame, ends: int, model: str, steps: int = STEPS) -> tuple[n
     for _ in range(steps):
         known = counts.sparkSession.sparkContext.broadcast(scores)
 
+        @giving_back
         def count(frames: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
             p, sums = pieces(model), None
             for frame in frames:
@@ -88,6 +89,7 @@ def score(documents: DataFrame, model: str, hot: int = HOT, steps: int = STEPS)
     known = spark.sparkContext.broadcast(scores)
     floor = math.log10(n + v + 1)
 
+    @giving_back
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for frame in frames:
@@ -100,6 +102,7 @@ def score(documents: DataFrame, model: str, hot: int = HOT, steps: int = STEPS)
     table = spark.sparkContext.broadcast((dict(zip(common["word"].str.encode("utf-8"), range(len(common)), strict=True)), (common["c"] > 0).to_numpy(), common["base"].to_numpy(), common["lm"].to_numpy()))
     end_base, end_lm = math.log10(ends + 1) - floor, end / math.log(10) if ends else math.log10(1 / (n + v + 1))
 
+    @giving_back
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each document what its common words give, and a row for each of its other words."""
         index, seen, base, lm = table.value

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
 from .tokens import crc32, encoder
 
 SEQUENCE, GRID, DEPTH, WINDOW = 4096, 64, 3, 8_000_000
@@ -140,6 +141,7 @@ class Packer:
 
 
 def _pack(path: str, blanks: bool, sequence: int, with_ids: bool):
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, packer, held, size, base = encoder(path, blanks), Packer(sequence), [], 0, None
 

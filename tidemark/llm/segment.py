@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
 from .lattice import MARK, Pieces, astar, pieces, viterbi
 from .runs import Buffer, Met, Rows, batches
 
@@ -158,6 +159,7 @@ def combine(losses: list[list[float]], n: int) -> Iterator[tuple[float, tuple[in
 def segment(documents: DataFrame, model: str, n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
     """A row for each document: the best segmentation's length, score and checksum, the scores of the n best, a checksum of all of them, and whether every one decodes to the text."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Segmenter(pieces(model), n_best)
         for frame in frames:
@@ -178,6 +180,7 @@ def segment(documents: DataFrame, model: str, n_best: int = N_BEST, with_ids: bo
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The texts of ids that segment() gave: doc_id and text."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for frame in frames:

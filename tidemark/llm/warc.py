@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import giving_back, shared_folder
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,6 +111,7 @@ def records(stream: io.BufferedIOBase, payloads: bool, kinds: tuple[str, ...] |
 def read_archives(spark: SparkSession, path: str, payloads: bool = True, kinds: tuple[str, ...] | None = None, batch: int = 2000) -> DataFrame:
     """All records (or those of some kinds) of the gzip or plain archives below path."""
 
+    @giving_back
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for frame in frames:
