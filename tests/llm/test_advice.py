@@ -21,15 +21,13 @@ def test_weak_bad_vote_is_outvoted(spark):
     shouted = [(100 + i, " ".join(w.upper() if k % 2 else w for k, w in enumerate(prose(100 + i)))) for i in range(6)]
     junk = [(200 + i, " ".join(f"{w}##" if k % 2 else w for k, w in enumerate(prose(200 + i)))) for i in range(8)]
     documents = spark.createDataFrame(clean + shouted + junk, "doc_id long, text string")
-    old = {r.doc_id for r in quality.judge(documents).where("kept").collect()}
-    got = {r.doc_id for r in quality.supervise(documents).where("kept").collect()}
-    assert old == {d for d, _ in clean}
+    got = {r.doc_id for r in quality.judge(documents).where("kept").collect()}
     assert got == {d for d, _ in clean + shouted}
     assert {r.doc_id for r in quality.keep(documents).collect()} == got
 
 
 def test_supervised_quality_follows_the_labels(spark):
-    got = {r.doc_id: r for r in Q.op1_weak_supervision(spark, SF).collect()}
+    got = {r.doc_id: r for r in Q.op1_quality_rules(spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert all(got[d].kept for d, q in labels.items() if q and not got[d].base_failed)
     assert not any(got[d].kept for d, q in labels.items() if not q)

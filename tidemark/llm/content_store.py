@@ -195,14 +195,14 @@ def _join_crcs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row in frame.itertuples(index=False):
             chunks = sorted(row.found, key=lambda x: x["i"])
-            if any(x["n"] is None for x in chunks):
+            if any(pd.isna(x["n"]) for x in chunks):
                 raise ValueError(f"chunks of document {row.doc_id} are missing")
             names = [bytes(x["name"]) for x in chunks]
             if merkle(names) != bytes(row.root) or sum(x["n"] for x in chunks) != row.n_tokens:
                 raise ValueError(f"document {row.doc_id} does not match its recipe")
             crc = 0
             for x in chunks:
-                crc = crc32_joined(crc, x["crc"], 4 * x["n"])
+                crc = crc32_joined(crc, int(x["crc"]), 4 * int(x["n"]))  # a null beside them makes floats
             out.append((row.doc_id, row.start, row.n_tokens, crc))
         made = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
         made["doc_id"] = made["doc_id"].astype("Int64")

@@ -14,8 +14,8 @@ itself, and pairs above it are found more often. bits is the base-2 logarithm of
 unrelated vectors share buckets of a few rows at any size.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths neither; equal rows link with each other; rows with an equal vec_id are counted as vectors of
-their own; an empty table gives no rows; other columns are ignored.
+different lengths neither; equal rows link with each other; rows with an equal vec_id are vectors of
+their own, in links and in components too; vectors are scaled by their largest component first, so tiny and huge ones keep double precision; rows without vec_id link with nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,14 +131,15 @@ def _verify(signs: Signs, threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     odd = F.coalesce(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     fit = ~odd & F.exists("vector", lambda x: x != 0)
     # Classes of equal vectors; the digest is of the bytes of all components, with -0.0 as 0.0.
-    digest = F.when(fit & F.col("vec_id").isNotNull(), F.unhex(F.sha2(F.to_binary(F.array_join(F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)).cast("array<string>"), " "), F.lit("utf-8")), 256)))
+    digest = F.when(fit & F.col("vec_id").isNotNull(), F.unhex(F.sha2(F.to_binary(F.array_join(F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("array<string>"), " "), F.lit("utf-8")), 256)))
     rows = written(rows.withColumn("digest", digest))
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("size"), F.any_value("vector").alias("vector"))
-    classes = written(classes)
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.any_value("vector").alias("vector"))
+    # Nodes are numbered: ids may repeat with unlike vectors. The numbers are written, so they stay.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     bits, tables = plan(classes.count(), threshold, recall)
     signs = Signs(bits, tables)
     hashed = written(classes.select("node", "vector").mapInPandas(_hash(signs), "node long, width int, codes array<long>, screen binary"))
@@ -148,8 +149,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     partners = written(in_groups(met, spot, _screen(most_apart(threshold)), "width int, table int, code long, cell long, side int, node long"))
     found = written(in_groups(partners.join(classes.select("node", "vector", "size"), "node"), spot, _verify(signs, threshold), "node long, to long, links long"))
     label = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    label = written(label.unionAll(label.select("component", "component").distinct()))  # the least node has no row of its own
+    least = written(label.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("joined")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("digest", "node", "size").join(links, "node", "left").join(label, "node", "left")
+    known = classes.select("digest", "node", "least", "size").join(links, "node", "left").join(label.join(least, "component").select("node", "joined"), "node", "left")
     out = rows.select("vec_id", "digest").join(known, "digest", "left")
-    component = F.coalesce("component", "node", "vec_id")
+    component = F.coalesce("joined", "least", "vec_id")
     return out.select("vec_id", (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

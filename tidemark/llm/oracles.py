@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import ACCURACY, HIGH_RULES, LEAST_WORDS, LOW_RULES, MOST_REPEATED_PERCENT, RULES, SHARE, STEPS
+from .quality import HIGH_RULES, LEAST_WORDS, LOW_RULES, MOST_REPEATED_PERCENT, ONCE_IN, PRIOR_ROWS, RULES, SHARE, START, STEPS, STRONG
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -18,18 +18,24 @@ def _ratio(what: str) -> str:
 
 
 def _posterior() -> str:
-    votes = " + ".join(f"v_{n} * ln(a_{n} / (1 - a_{n}))" for n in RULES)
-    return f"1 / (1 + exp(-(ln({SHARE}::DOUBLE / (1 - {SHARE}::DOUBLE)) + {votes})))"
+    votes = " + ".join(f"CASE v_{n} WHEN 1 THEN ln(g_{n} / b_{n}) WHEN -1 THEN ln((1 - g_{n}) / (1 - b_{n})) ELSE 0 END" for n in RULES)
+    return f"1 / (1 + exp(-(ln(share / (1 - share)) + {votes})))"
+
+
+def _step(name: str) -> str:
+    """Of one rule: the chances of its good vote on a good and on a bad document."""
+    good, bad = (f"(coalesce(sum(CASE WHEN v_{name} = 1 THEN n * {p} END), 0) + {first}::DOUBLE * {PRIOR_ROWS}) / (coalesce(sum(CASE WHEN v_{name} <> 0 THEN n * {p} END), 0) + {PRIOR_ROWS})" for p, first in zip(("q", "(1 - q)"), START[name in STRONG], strict=True))
+    if name in STRONG:
+        good = f"greatest({good}, 1 - 1::DOUBLE / {ONCE_IN})"
+    return f"{good} AS g_{name}, least({good}, {bad}) AS b_{name}"
 
 
 def _quality() -> str:
-    bad = [f"CASE WHEN {_ratio(w)} >= {high}::DOUBLE THEN -1 ELSE 0 END AS v_{n}" for n, (w, _, high) in HIGH_RULES.items()]
-    bad += [f"CASE WHEN {_ratio(w)} < {low}::DOUBLE THEN -1 ELSE 0 END AS v_{n}" for n, (w, _, low) in LOW_RULES.items()]
-    quiet = [f"{_ratio(w)} <= {low}::DOUBLE" for w, low, _ in HIGH_RULES.values()] + [f"{_ratio(w)} >= {high}::DOUBLE" for w, high, _ in LOW_RULES.values()]
-    steps = ["e0 AS (SELECT " + ", ".join(f"{ACCURACY}::DOUBLE AS a_{n}" for n in RULES) + ")"]
+    bad = [f"CASE WHEN {_ratio(w)} >= {high}::DOUBLE THEN -1 WHEN {_ratio(w)} <= {low}::DOUBLE THEN 1 ELSE 0 END AS v_{n}" for n, (w, low, high) in HIGH_RULES.items()]
+    bad += [f"CASE WHEN {_ratio(w)} < {low}::DOUBLE THEN -1 WHEN {_ratio(w)} >= {high}::DOUBLE THEN 1 ELSE 0 END AS v_{n}" for n, (w, high, low) in LOW_RULES.items()]
+    steps = [f"e0 AS (SELECT {SHARE}::DOUBLE AS share, " + ", ".join(f"{START[n in STRONG][0]}::DOUBLE AS g_{n}, {START[n in STRONG][1]}::DOUBLE AS b_{n}" for n in RULES) + ")"]
     for k in range(STEPS):
-        right = {n: f"sum(CASE v_{n} WHEN 1 THEN n * q WHEN -1 THEN n * (1 - q) ELSE 0 END) / nullif(sum(CASE WHEN v_{n} <> 0 THEN n ELSE 0 END), 0)" for n in RULES}
-        new = ", ".join(f"coalesce(({right[n]} + {ACCURACY}::DOUBLE) / 2, {ACCURACY}::DOUBLE) AS a_{n}" for n in RULES)
+        new = f"(coalesce(sum(n * q), 0) + {SHARE}::DOUBLE * {PRIOR_ROWS}) / (coalesce(sum(n), 0) + {PRIOR_ROWS}) AS share, " + ", ".join(map(_step, RULES))
         steps.append(f"e{k + 1} AS MATERIALIZED (SELECT {new} FROM (SELECT patterns.*, {_posterior()} AS q FROM patterns, e{k}))")
     return f"""
 WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
@@ -42,7 +48,7 @@ r AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM c GROUP BY 1),
 counts AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, {_counted('[#*$%&|<>]')} AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, {_counted('[A-Z]')} AS n_capitals, {_counted('!')} AS n_shouts
   FROM documents d JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-votes AS MATERIALIZED (SELECT *, {', '.join(bad)}, CASE WHEN {' AND '.join(quiet)} THEN 1 ELSE 0 END AS v_prose FROM counts),
+votes AS MATERIALIZED (SELECT *, {', '.join(bad)} FROM counts),
 patterns AS MATERIALIZED (SELECT {', '.join('v_' + n for n in RULES)}, count(*) AS n FROM votes GROUP BY ALL),
 {', '.join(steps)},
 judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed, {_posterior()} AS q FROM votes, e{STEPS})
@@ -50,10 +56,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 WARC = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1), 1)), '') AS payload_digest,
-  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS request_uri, 1::BIGINT AS n_requests, 1::BIGINT AS n_metadatas
 FROM p"""
 
 #: The reflected polynomial of CRC-32.

@@ -1,8 +1,8 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
-Each rule votes +1 (good), -1 (bad) or 0 (abstains). Expectation-maximisation estimates how often each rule's
-votes are right, and the posterior probability of the good class, in which votes weigh by those accuracies,
-replaces the demand that all rules pass.
+Each rule votes +1 (good), -1 (bad) or 0 (abstains) over its own range of one measure, so votes of rules conflict. Expectation-maximisation
+estimates, for each rule, how often good and bad documents get its good vote, and the share of good documents; the posterior probability of the good
+class, in which votes weigh by those chances, replaces the demand that all rules pass. A bad vote may be outvoted.
 
 Expectation runs on the table of vote patterns, of which there are at most 3 to the number of rules, whatever
 the input; each step is one aggregation over that table.
@@ -10,10 +10,6 @@ the input; each step is one aggregation over that table.
 Defined results: a null or blank text has no words and fails the base rule; an empty table gives no rows;
 rows that are alike get equal results; other columns are kept out of the result. Ratios of texts without words
 make a rule abstain.
-
-judge() is the form that the SQL states: there one bad vote rejects whatever the others say. supervise() is the whole
-method and what keep() goes by: each rule votes good and bad over its own range, so votes of rules conflict, and
-expectation-maximisation estimates, for each rule, how often good and bad documents get its good vote, and the share of good documents.
 """
 
 from __future__ import annotations
@@ -28,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import free, let, words, written
 
 SYMBOLS, CAPITALS, BLANK_CHARS = "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\x0b\x0c\r"
-#: Rule: (measure, quiet while at most, bad from). A rule of this kind votes bad or abstains.
+#: Rule: (measure, good while at most, bad from).
 HIGH_RULES = {
     "symbols": ("n_symbols / n_words", 0.05, 0.15),
     "repeats": ("n_repeat_words / n_words", 0.3, 0.5),
@@ -37,12 +33,11 @@ HIGH_RULES = {
     "shouts": ("n_shouts / n_words", 0.05, 0.2),
     "long_words": ("word_chars / n_words", 10.0, 14.0),
 }
-#: Rule: (measure, quiet from, bad below).
+#: Rule: (measure, good from, bad below).
 LOW_RULES = {"length": ("n_words", 100, 50), "short_words": ("word_chars / n_words", 3.5, 2.5)}
-#: The rule "prose" votes good where all the measures above are quiet.
-RULES = [*HIGH_RULES, *LOW_RULES, "prose"]
-#: The share of good documents that is assumed, and the accuracy that is assumed of each rule; that counts as much as what is seen.
-SHARE, ACCURACY = 0.6, 0.95
+RULES = [*HIGH_RULES, *LOW_RULES]
+#: The share of good documents from which estimation starts.
+SHARE = 0.6
 STEPS = 12
 #: Signs that a good document carries at most once in so many, whatever the estimate; the other signs are weighed as they are met.
 STRONG, ONCE_IN = ("symbols", "repeats", "short_words"), 1000
@@ -92,15 +87,10 @@ def measures(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def votes(measured: DataFrame) -> DataFrame:
-    """Adds a column v_<rule> for each rule."""
-    out, quiet = {}, F.lit(True)
-    for name, (what, low, high) in HIGH_RULES.items():
-        out[f"v_{name}"] = F.when(_measure(what) >= high, -1).otherwise(0)
-        quiet &= _measure(what) <= low
-    for name, (what, high, low) in LOW_RULES.items():
-        out[f"v_{name}"] = F.when(_measure(what) < low, -1).otherwise(0)
-        quiet &= _measure(what) >= high
-    return measured.withColumns(out | {"v_prose": F.when(quiet, 1).otherwise(0)})
+    """Adds a column v_<rule> for each measure: good where it is quiet, bad where it is loud, whatever the other rules say."""
+    out = {f"v_{name}": F.when(_measure(what) >= high, -1).when(_measure(what) <= low, 1).otherwise(0) for name, (what, low, high) in HIGH_RULES.items()}
+    out |= {f"v_{name}": F.when(_measure(what) < low, -1).when(_measure(what) >= high, 1).otherwise(0) for name, (what, high, low) in LOW_RULES.items()}
+    return measured.withColumns(out)
 
 
 def _measure(what: str) -> Column:
@@ -108,77 +98,39 @@ def _measure(what: str) -> Column:
     return F.try_divide(F.col(top), F.col(bottom)) if bottom else F.col(top)
 
 
-def posterior(accuracy: dict[str, float], share: float = SHARE) -> Column:
-    """The probability of the good class, given the votes: each vote weighs as the odds that its rule is right."""
-    odds = (F.col(f"v_{name}") * math.log(a / (1 - a)) for name, a in accuracy.items())
-    return 1 / (1 + F.exp(-reduce(add, odds, F.lit(math.log(share / (1 - share))))))
-
-
-def estimate(voted: DataFrame, steps: int = STEPS) -> dict[str, float]:
-    """Each rule's accuracy, by expectation-maximisation over the vote patterns of all rows."""
-    patterns = written(voted.groupBy(*[f"v_{n}" for n in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    accuracy = dict.fromkeys(RULES, ACCURACY)
-    for _ in range(steps):
-        weighed = patterns.withColumn("_p", posterior(accuracy))
-        sums = []
-        for name in RULES:
-            v = F.col(f"v_{name}")
-            right = F.when(v == 1, F.col("n") * F.col("_p")).when(v == -1, F.col("n") * (1 - F.col("_p"))).otherwise(0.0)
-            sums += [F.sum(right).alias(f"{name}_right"), F.sum(F.when(v != 0, F.col("n")).otherwise(0)).alias(f"{name}_votes")]
-        row = weighed.agg(*sums).first()
-        accuracy = {n: (row[f"{n}_right"] / row[f"{n}_votes"] + ACCURACY) / 2 if row[f"{n}_votes"] else ACCURACY for n in RULES}
-    return accuracy
-
-
-def judge(documents: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """For each document its counts, base_failed, the posterior quality and kept."""
-    voted = written(votes(measures(documents, text, key)))
-    p = posterior(estimate(voted))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= threshold)).alias("kept"), F.round(p, 6).alias("quality"))
-
-
-def both_votes(measured: DataFrame) -> DataFrame:
-    """Adds a column b_<rule> for each measure: good where it is quiet, bad where it is loud, whatever the other rules say."""
-    out = {f"b_{name}": F.when(_measure(what) >= high, -1).when(_measure(what) <= low, 1).otherwise(0) for name, (what, low, high) in HIGH_RULES.items()}
-    out |= {f"b_{name}": F.when(_measure(what) < low, -1).when(_measure(what) >= high, 1).otherwise(0) for name, (what, high, low) in LOW_RULES.items()}
-    return measured.withColumns(out)
-
-
-def supervised(chances: dict[str, tuple[float, float]], share: float) -> Column:
+def posterior(chances: dict[str, tuple[float, float]], share: float) -> Column:
     """The probability of the good class: a vote weighs as the odds of meeting it on a good and on a bad document."""
-    odds = (F.when(F.col(f"b_{n}") == 1, math.log(g / b)).when(F.col(f"b_{n}") == -1, math.log((1 - g) / (1 - b))).otherwise(0.0) for n, (g, b) in chances.items())
+    odds = (F.when(F.col(f"v_{n}") == 1, math.log(g / b)).when(F.col(f"v_{n}") == -1, math.log((1 - g) / (1 - b))).otherwise(0.0) for n, (g, b) in chances.items())
     return 1 / (1 + F.exp(-reduce(add, odds, F.lit(math.log(share / (1 - share))))))
 
 
 def fit(voted: DataFrame, steps: int = STEPS) -> tuple[dict[str, tuple[float, float]], float]:
     """For each rule the chances of its good vote on a good and on a bad document, and the share of good documents."""
-    rules = [*HIGH_RULES, *LOW_RULES]
-    patterns = written(voted.groupBy(*[f"b_{n}" for n in rules]).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    start = {n: START[n in STRONG] for n in rules}
+    patterns = written(voted.groupBy(*[f"v_{n}" for n in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    start = {n: START[n in STRONG] for n in RULES}
     chances, share = start, SHARE
     for _ in range(steps):
-        weighed = patterns.withColumn("_p", supervised(chances, share))
+        weighed = patterns.withColumn("_p", posterior(chances, share))
         sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_p")).alias("good")]
-        for name in rules:
+        for name in RULES:
             for kind, p in (("good", F.col("_p")), ("bad", 1 - F.col("_p"))):
-                sums += [F.sum(F.when(F.col(f"b_{name}") == 1, F.col("n") * p).otherwise(0.0)).alias(f"{name}_{kind}"), F.sum(F.when(F.col(f"b_{name}") != 0, F.col("n") * p).otherwise(0.0)).alias(f"{name}_{kind}_votes")]
+                sums += [F.sum(F.when(F.col(f"v_{name}") == 1, F.col("n") * p).otherwise(0.0)).alias(f"{name}_{kind}"), F.sum(F.when(F.col(f"v_{name}") != 0, F.col("n") * p).otherwise(0.0)).alias(f"{name}_{kind}_votes")]
         row = weighed.agg(*sums).first()
         if not row["n"]:
             break
         share = (row["good"] + SHARE * PRIOR_ROWS) / (row["n"] + PRIOR_ROWS)
         chances = {}
-        for name in rules:
+        for name in RULES:
             g, b = ((row[f"{name}_{kind}"] + first * PRIOR_ROWS) / (row[f"{name}_{kind}_votes"] + PRIOR_ROWS) for kind, first in zip(("good", "bad"), start[name], strict=True))
             g = max(g, 1 - 1 / ONCE_IN) if name in STRONG else g
             chances[name] = g, min(g, b)  # a good vote never speaks against a document
     return chances, share
 
 
-def supervise(documents: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """The columns of judge(), with votes that conflict: a bad vote may be outvoted."""
-    voted = both_votes(written(measures(documents, text, key)))  # written first, so that votes don't measure again
-    p = supervised(*fit(voted))
+def judge(documents: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """For each document its counts, base_failed, the posterior quality and kept."""
+    voted = votes(written(measures(documents, text, key)))  # written first, so that votes don't measure again
+    p = posterior(*fit(voted))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= threshold)).alias("kept"), F.round(p, 6).alias("quality"))
 
@@ -187,5 +139,5 @@ def keep(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """The documents that the rules keep, all columns. Rows that share an id are told apart by their text; a row without an id is judged too."""
     ident, hashed = free(documents, "_id", "_hash")
     marked = documents.select(F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash")).alias("_key"), F.col(text).alias("_text"))
-    bad = supervise(marked, "_text", "_key").where("NOT kept").select(F.col("doc_id.id").alias(ident), F.col("doc_id.hash").alias(hashed)).distinct()
+    bad = judge(marked, "_text", "_key").where("NOT kept").select(F.col("doc_id.id").alias(ident), F.col("doc_id.hash").alias(hashed)).distinct()
     return documents.join(bad, documents[key].eqNullSafe(F.col(ident)) & (F.xxhash64(documents[text]) == F.col(hashed)), "left_anti")

@@ -26,10 +26,6 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
-def op1_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.supervise(table(spark, folder, "documents"))
-
-
 def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -44,6 +40,9 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("response.type").alias("record_type"),
         number.try_cast("long").alias("refers_to"),
         F.col("response.intact").alias("intact"),
+        F.col("request.uri").alias("request_uri"),
+        F.col("requests").alias("n_requests"),
+        F.col("metadatas").alias("n_metadatas"),
     )
 
 
@@ -76,5 +75,5 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spans.span_report(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_warc, op4_content_store, op5_embedding_dedup, op6_sharding, op7_minhash_dedup, op8_packing, op9_nbest, op10_substring_dedup, op1_weak_supervision)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_warc, op4_content_store, op5_embedding_dedup, op6_sharding, op7_minhash_dedup, op8_packing, op9_nbest, op10_substring_dedup)}
 ORACLES = oracles(SHARDS, PERCENT)

@@ -11,7 +11,7 @@ Defined results: a null html is an empty payload; line breaks in a URL are perce
 empty; among equal payloads the rows with the largest page_id are responses (all of them, if a page_id is
 repeated) and the others revisit it; rows without page_id revisit too unless no copy has one; an empty
 table gives no rows; other columns are ignored. A record that has several requests or metadata records
-keeps the one with the least identifier, and their number.
+keeps the one with the least identifier, and their number; a capture without one has null there and 0.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import giving_back, shared_folder
+from .common import giving_back, shared_folder, written
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, digest string, http string, fields string, payload_bytes long, payload binary, intact boolean"
 CRLF = "\r\n"
+#: A file is read as one value, which holds 2 GB at most.
+FILE_BYTES = 64_000_000
 
 
 def base32_sha1(raw: Column) -> Column:
@@ -52,8 +54,10 @@ def _record(kind: str | Column, ident: Column, headers: list[tuple[str, Column]]
     return F.concat(*head)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 60_000) -> None:
-    """Writes three records per row of pages (page_id, url, html) as gzip files below path."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes three records per row of pages (page_id, url, html) as gzip files below path, of about file_bytes before compression at most."""
+    size = pages.agg(F.coalesce(F.avg(F.octet_length("html")), F.lit(0.0))).first()[0] / 3 + 500
+    records_per_file = max(3, int(file_bytes / size))
     raw = F.coalesce(F.col("html"), F.lit(""))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), raw.alias("html"), base32_sha1(raw.cast("binary")).alias("digest"))
     # A digest with several rows has its largest page_id; the groups are counted before the shuffle, and the join may split a large one.
@@ -132,15 +136,23 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, kinds:
 
 
 def assemble(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per capture: struct columns response, request and metadata, joined on concurrent-to identifiers."""
-    capture = read_archives(spark, path, payloads, ("response", "revisit"))
-    response = capture.select(F.col("id").alias("_id"), F.struct("id", "type", "uri", "refers_to", "digest", "payload_bytes", "http", "payload", "intact").alias("response"))
-
-    def about(kind: str, *cols: str) -> DataFrame:
-        rows = read_archives(spark, path, False, (kind,)).where("concurrent_to IS NOT NULL")
-        return rows.groupBy(F.col("concurrent_to").alias("_id")).agg(F.min(F.struct("id", *cols)).alias(kind), F.count(F.lit(1)).alias(f"{kind}s"))
-
-    return response.join(about("request", "uri", "http"), "_id", "left").join(about("metadata", "fields"), "_id", "left").drop("_id")
+    """One row per capture: struct columns response, request and metadata, and how many requests and metadatas there are.
+
+    The archives are read once. Records meet under the identifier of their capture: a response's own, and the one that a request or
+    metadata record is concurrent to. Responses come by a join, so that payloads aren't aggregated; records about a capture that isn't there are left out.
+    """
+    every = read_archives(spark, path, payloads)
+    capture = F.when(F.col("type").isin("response", "revisit"), F.col("id")).otherwise(F.col("concurrent_to"))
+    every = written(every.withColumn("_id", capture))
+    response = every.where("type IN ('response', 'revisit')").select("_id", F.struct("id", "type", "uri", "refers_to", "digest", "payload_bytes", "http", "payload", "intact").alias("response"))
+    kinds = {"request": ("uri", "http"), "metadata": ("fields",)}
+    found = []
+    for kind, cols in kinds.items():
+        mine = F.col("type") == kind
+        found += [F.min(F.when(mine, F.struct("id", *cols))).alias(kind), F.count_if(mine).alias(f"{kind}s")]
+    about = every.where(F.col("type").isin(*kinds) & F.col("_id").isNotNull()).groupBy("_id").agg(*found)
+    counted = {f"{kind}s": F.coalesce(f"{kind}s", F.lit(0).cast("long")) for kind in kinds}
+    return response.join(about, "_id", "left").withColumns(counted).select("response", "request", "requests", "metadata", "metadatas")
 
 
 def captures(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
