@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and what it returns is written and read again as the next stage's docs. All but
 the last return the columns of documents.
+
+Defined results: null, empty and short texts fail the quality rules' base and go; where a stage is called by itself on such rows, near_dedup and substring_dedup
+keep them. Rows that share an id are told apart by their texts; of rows alike in both one stays. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
 
-#: Tokenization and hashing have no SQL form; the stages are tested against brute force.
+#: Tokenization has no SQL form; tests compare the whole run with plain versions of the stages.
 ORACLE_SQL = None
 
 
