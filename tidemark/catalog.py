@@ -130,9 +130,9 @@ def drop_months(spark, folder):
     return B.drop_months(table(spark, folder, "orders"), ["1995-03", "1996-07"], "o_orderdate").select("o_orderkey")
 
 
-@query("SELECT event_id, ts >= TIMESTAMP '2024-01-25' AS late FROM events")
+@query("SELECT event_id, ts >= TIMESTAMP '2024-02-01' AS late FROM events")
 def validation_tail(spark, folder):
-    return events(spark, folder).select("event_id", (F.col("ts") >= F.lit("2024-01-25").cast("timestamp")).alias("late"))
+    return events(spark, folder).select("event_id", B.tail(F.col("ts"), "2024-02").alias("late"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5(o_orderkey::VARCHAR || ':7'), 1, 8))::BIGINT, o_orderkey LIMIT 50")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import part_of
 from tidemark.session import DAY_US, HOUR_US, micros
 
 LAG_US = 24 * HOUR_US
@@ -50,28 +51,47 @@ def prior_from(query: DataFrame, history: DataFrame, key: str, time: str, value:
     return prior_mean(both, key, time, "_value", config, name).where("_query").drop("_value", "_query")
 
 
-def global_prior(rows: DataFrame, id_: str, time: str, value: Column | str, config: Prior = Prior(), name: str = "prior") -> DataFrame:
-    """A keyless prior without a one-partition window: id, <name>_mean, <name>_count.
+def global_priors(rows: DataFrame, id_: str, time: str, value: Column | str, configs: dict[str, Prior]) -> DataFrame:
+    """Keyless priors without a one-partition window: id and, for each config, <name>_mean and <name>_count. Ids are those of rows; equal rows count as one query.
 
-    Running sums within days, and the days' totals before them; a cutoff sorts before history of the same instant.
-    The table of days is small and is the only thing that one task orders.
+    All cutoffs are merged with the history into ranges of time, in one pass: running sums within the ranges, and the ranges' totals before them. A
+    cutoff sorts before history of the same instant. The table of ranges is small and the only thing that one task orders.
     """
     value = F.col(value) if isinstance(value, str) else value
     base = rows.select(F.col(id_).alias("_id"), micros(time).alias("_us"), value.cast("double").alias("_y"))
-    history = base.where("_y IS NOT NULL").select(F.lit(None).cast("long").alias("_id"), "_us", "_y", F.lit(1).alias("_n"), F.lit(2).alias("_end"))
-    at = lambda back, end: base.select(F.col("_id").cast("long").alias("_id"), (F.col("_us") - back).alias("_us"), F.lit(0.0).alias("_y"), F.lit(0).alias("_n"), F.lit(end).alias("_end"))
-    ends = at(config.lag_us, 1)
-    if config.window_us is not None:
-        ends = ends.unionByName(at(config.lag_us + config.window_us, 0))
-    all_ = history.unionByName(ends).withColumn("_day", F.floor(F.col("_us") / DAY_US))
-    days = all_.groupBy("_day").agg(F.sum("_y").alias("y"), F.sum("_n").alias("n"))
-    before = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("y").over(before), F.lit(0.0)).alias("_y0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"))
-    inside = W.partitionBy("_day").orderBy("_us", "_end").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = all_.withColumns({"_ys": F.sum("_y").over(inside), "_ns": F.sum("_n").over(inside)}).where("_end < 2").join(days, "_day")
-    sign = F.when(F.col("_end") == 1, 1).otherwise(-1)
-    sums = run.groupBy("_id").agg(F.sum(sign * (F.col("_ys") + F.col("_y0"))).alias("s"), F.sum(sign * (F.col("_ns") + F.col("_n0"))).alias("n"))
-    return sums.select(F.col("_id").alias(id_), F.when(F.col("n") >= config.min_rows, F.try_divide("s", "n")).alias(f"{name}_mean"), F.col("n").alias(f"{name}_count"))
+    none = F.lit(None).cast(base.schema["_id"].dataType)
+    merged = base.where("_y IS NOT NULL").select(none.alias("_id"), "_us", "_y", F.lit(1).alias("_n"), F.lit(1).alias("_late"), F.lit(None).cast("int").alias("_config"), F.lit(0).alias("_sign"))
+    ends = []
+    for i, c in enumerate(configs.values()):
+        ends.append(F.struct((F.col("_us") - c.lag_us).alias("_us"), F.lit(i).alias("_config"), F.lit(1).alias("_sign")))
+        if c.window_us is not None:
+            ends.append(F.struct((F.col("_us") - c.lag_us - c.window_us).alias("_us"), F.lit(i).alias("_config"), F.lit(-1).alias("_sign")))
+    asked = base.select("_id", "_us").distinct().select("_id", F.explode(F.array(*ends)).alias("e"))
+    merged = merged.unionByName(asked.select("_id", "e._us", F.lit(0.0).alias("_y"), F.lit(0).alias("_n"), F.lit(0).alias("_late"), "e._config", "e._sign"))
+    merged = merged.withColumn("_part", part_of(base, "_us"))
+    totals = merged.groupBy("_part").agg(F.sum("_y").alias("y"), F.sum("_n").alias("n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("y").over(earlier), F.lit(0.0)).alias("_y0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n0"))
+    inside = W.partitionBy("_part").orderBy("_us", "_late").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = merged.withColumns({"_ys": F.sum("_y").over(inside), "_ns": F.sum("_n").over(inside)}).where("_late = 0").join(F.broadcast(totals), "_part")
+    sums = []
+    for i in range(len(configs)):
+        mine = F.when(F.col("_config") == i, F.col("_sign"))
+        sums += [F.sum(mine * (F.col("_ys") + F.col("_y0"))).alias(f"s{i}"), F.sum(mine * (F.col("_ns") + F.col("_n0"))).alias(f"n{i}")]
+    found = run.groupBy("_id").agg(*sums)
+    out = [F.col("_id").alias(id_)]
+    for i, (name, c) in enumerate(configs.items()):
+        out += [F.when(F.col(f"n{i}") >= c.min_rows, F.try_divide(f"s{i}", f"n{i}")).alias(f"{name}_mean"), F.col(f"n{i}").alias(f"{name}_count")]
+    return found.select(*out)
+
+
+def global_prior(rows: DataFrame, id_: str, time: str, value: Column | str, config: Prior = Prior(), name: str = "prior") -> DataFrame:
+    return global_priors(rows, id_, time, value, {name: config})
+
+
+def with_history(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both intervals as one history. Each row still reads only what its own bound allows, so the test rows' own future stays out."""
+    return train.unionByName(test)
 
 
 @dataclass(frozen=True)
@@ -108,6 +128,8 @@ def trailing_baseline(rows: DataFrame, time: str, value: Column, config: Baselin
 
 
 def forward(score: Column, centre: Column, spread: Column) -> Column:
+    """An error where the spread is not above 0."""
+    spread = F.when(spread > 0, spread).otherwise(F.raise_error(F.lit("the spread must be above 0")).cast("double"))
     return (F.log1p(score) - centre) / spread
 
 
@@ -117,9 +139,8 @@ def inverse(target: Column, centre: Column, spread: Column) -> Column:
 
 def trailing_rung(rows: DataFrame, id_: str, time: str, value: Column, min_rows: int = 30) -> DataFrame:
     """Rung 1: the mean of 30 days, else of all the past, else 0. Gives id and rung1."""
-    near = global_prior(rows, id_, time, value, Prior(window_us=30 * DAY_US, min_rows=min_rows), "near")
-    all_ = global_prior(rows, id_, time, value, Prior(), "all")
-    return near.join(all_, id_).select(id_, F.coalesce("near_mean", "all_mean", F.lit(0.0)).alias("rung1"))
+    both = global_priors(rows, id_, time, value, {"near": Prior(window_us=30 * DAY_US, min_rows=min_rows), "all": Prior()})
+    return both.select(id_, F.coalesce("near_mean", "all_mean", F.lit(0.0)).alias("rung1"))
 
 
 def keyed_rung(rows: DataFrame, id_: str, key: Column | str, time: str, value: Column, min_rows: int = 1) -> DataFrame:
@@ -134,8 +155,12 @@ def fallbacks(predicted: DataFrame) -> DataFrame:
     return predicted.agg(n.alias("total"), miss.alias("fallbacks"), F.try_divide(miss, n).alias("fraction"))
 
 
-def expanding_stats(rows: DataFrame, key: str, time: str, value: Column, least: int, name: str) -> DataFrame:
+#: The lag of expanding statistics of authors and domains.
+EXPANDING = Prior(lag_us=48 * HOUR_US)
+
+
+def expanding_stats(rows: DataFrame, key: str, time: str, value: Column, least: int, name: str, config: Prior = EXPANDING) -> DataFrame:
     """<name>_prior_count, _mean and _std (population) of a key's past; null below the least number of posts."""
-    over = Prior().frame(W.partitionBy(text_key(key)).orderBy(micros(time)))
+    over = config.frame(W.partitionBy(text_key(key)).orderBy(micros(time)))
     n = F.count(value).over(over)
     return rows.withColumns({f"{name}_prior_count": n, f"{name}_prior_mean": F.when(n >= least, F.avg(value).over(over)), f"{name}_prior_std": F.when(n >= least, F.stddev_pop(value).over(over))})

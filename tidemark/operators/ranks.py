@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import before
+
 
 def errors(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     d = F.col(predicted) - F.col(actual)
     return df.agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
+def _ranked(counts: DataFrame, value: str, rank: str) -> DataFrame:
+    """value and its average rank, from rows (value, _k) of values and how often each occurs."""
+    return before(counts, [value], F.col("_k"), "_b", value).select(value, (F.col("_b") + (F.col("_k") + 1) / 2).alias(rank))
+
+
 def average_ranks(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Adds the mean rank of equal values. Equal values are counted first; their running totals are taken in two levels, so no task sorts all of them."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
-    bounds = [x for x in counts.stat.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.01)] if dict(df.dtypes)[value] in ("double", "float", "int", "bigint") else []
-    part = sum(((F.col(value) > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
-    counts = counts.withColumn("_p", part)
-    totals = counts.groupBy("_p").agg(F.sum("_k").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = F.coalesce(F.sum("_k").over(W.partitionBy("_p").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_i", inside).join(F.broadcast(totals), "_p").select(value, (F.col("_b") + F.col("_i") + (F.col("_k") + 1) / 2).alias(rank))
-    return df.join(ranks, value)
+    """Adds the mean rank of equal values; null for null. Equal values are counted first; running totals are taken in two levels, so no task sorts all of them."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
+    return df.join(_ranked(counts, value, rank), value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """0 for a constant or fewer than two rows."""
-    ranked = average_ranks(average_ranks(df.select(x, y), x, "_rx"), y, "_ry")
-    sx, sy = F.stddev_pop("_rx"), F.stddev_pop("_ry")
-    return ranked.agg(F.coalesce(F.when((sx > 0) & (sy > 0), F.covar_pop("_rx", "_ry") / (sx * sy)), F.lit(0.0)).alias("spearman"))
+    """0 for a constant or fewer than two rows; rows with a null in either do not count.
+
+    Rows are counted by (x, y) once, and all else is done on the counts: ranks of distinct values, and a weighted covariance.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).persist()
+    sides = [_ranked(pairs.groupBy(c).agg(F.sum("_n").alias("_k")), c, f"{c}r") for c in ("_x", "_y")]
+    n = F.sum("_n")
+    # The mean of all ranks is (n + 1) / 2 on either side.
+    mean = pairs.agg(((n + 1) / 2).alias("_m"))
+    each = pairs.join(sides[0], "_x").join(sides[1], "_y").join(F.broadcast(mean), F.lit(True))
+    a, b = F.col("_xr") - F.col("_m"), F.col("_yr") - F.col("_m")
+    xx, yy, xy = (F.sum(F.col("_n") * p) for p in (a * a, b * b, a * b))
+    row = each.agg(F.coalesce(F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy)), F.lit(0.0)).alias("spearman")).first()
+    pairs.unpersist()
+    return df.sparkSession.createDataFrame([(row[0],)], "spearman double")
 
 
 def precision_at_k(df: DataFrame, predicted: str, actual: str, id_: str, k: int) -> DataFrame:

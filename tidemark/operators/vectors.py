@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +26,60 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
+#: Bytes of queries that are sent to all tasks at once; more of them go in turns, each a pass over the space.
+QUERY_BYTES = 64_000_000
+
+
 def neighbours(space: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For a stated, small set of queries the k nearest others: query, id, similarity, rank. Every row of space meets every query, and each task keeps no more than it must for its rank."""
-    q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("_q"))
-    sims = space.join(F.broadcast(q), F.col(id_) != F.col("query")).select("query", F.col(id_).alias("id"), cosine(F.col("_q"), F.col(vector)).alias("similarity"))
+    """For a stated set of queries the k nearest others: query, id, similarity, rank; ties by id.
+
+    Queries are unit vectors in blocks of at most QUERY_BYTES. A task multiplies its rows with a block and keeps, of each
+    batch of rows, the k best for each query (and what ties with them); their ranks are taken from those.
+    """
+    spark = space.sparkSession
+    kind = space.schema[id_].dataType.simpleString()
+    found, held, size = None, [], 0
+
+    def block(rows: list) -> DataFrame:
+        ids, q = [x[0] for x in rows], _units([x[1] for x in rows])
+        known = spark.sparkContext.broadcast((ids, q))
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = known.value
+            own = np.array(ids, dtype=object)
+            for frame in frames:
+                if len(frame):
+                    sims = q @ _units(frame[vector].tolist()).T
+                    names = frame[id_].to_numpy(dtype=object)
+                    sims[own[:, None] == names[None, :]] = -np.inf
+                    least = np.partition(sims, -min(k, len(frame)), axis=1)[:, -min(k, len(frame))]
+                    i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                    yield pd.DataFrame({"query": own[i], "id": names[j], "similarity": sims[i, j]})
+
+        return space.select(id_, vector).mapInPandas(best, f"query {kind}, id {kind}, similarity double")
+
+    def add(rows: list) -> None:
+        nonlocal found
+        found = block(rows) if found is None else found.unionAll(block(rows))
+
+    for row in queries.select(id_, F.col(vector).cast("array<double>")).toLocalIterator():
+        held.append(row)
+        size += 8 * len(row[1])
+        if size >= QUERY_BYTES:
+            add(held)
+            held, size = [], 0
+    if held:
+        add(held)
+    if found is None:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, similarity double, rank int")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _units(rows: list) -> np.ndarray:
+    x = np.array([np.asarray(v, np.float64) for v in rows])
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n == 0, 1.0, n)
 
 
 def purity(found: DataFrame, labels: DataFrame, id_: str = "vec_id", label: str = "label") -> DataFrame:
