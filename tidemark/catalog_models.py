@@ -7,6 +7,8 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tidemark.catalog import ORACLES, QUERIES, WORDS, docs, events, lines, query, r, table, vocab
+from tidemark.functions import text as T
+from tidemark.operators import asof as A
 from tidemark.operators import evaluation as K
 from tidemark.operators import features as X
 from tidemark.operators import models as M
@@ -16,6 +18,8 @@ from tidemark.operators import word2vec as N
 from tidemark.plans import ladder as L
 
 FEATURES = 5000
+#: Terms of a text block in the query regression_ladder; the operators' own default is 50,000.
+RUNG_TERMS = 500
 _TERMS = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{X.TERM}') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
 c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
@@ -60,23 +64,58 @@ def ridge_weights(spark, folder):
     return spark.createDataFrame(list(w.items()), "name string, weight double").select("name", r("weight", 4).alias("weight"))
 
 
-def _labelled(spark, folder):
-    """Labelled documents, split by time's stand-in, the id."""
-    rows = docs(spark, folder).join(table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality")), "doc_id").select("doc_id", "text", "quality", F.log1p(F.length(F.coalesce("text", F.lit("")))).alias("length"))
-    middle = docs(spark, folder).agg(F.percentile("doc_id", F.lit(0.7)).alias("_m"))
-    marked = rows.join(F.broadcast(middle), F.lit(True))
-    return marked.where("doc_id < _m").drop("_m"), marked.where("doc_id >= _m").drop("_m")
+def stories(spark, folder):
+    """Documents as stories: an id is an hour, the source an author, pages give URLs, the first 80 characters are the title, log1p of the number of different words the label."""
+    pages = table(spark, folder, "pages").groupBy(F.col("page_id").alias("doc_id")).agg(F.min("url").alias("url"))
+    d = docs(spark, folder).join(pages, "doc_id", "left")
+    text = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600).alias("time"), F.substring(text, 1, 80).alias("title"), text.alias("text"), F.col("source").alias("by"), "url", F.log1p(F.size(F.array_distinct(F.split(text, " ")))).alias("label"))
+
+
+_PAST = """s AS (SELECT doc_id, source AS by_, 1700000000 + doc_id * 3600 AS t, ln(1 + len(list_distinct(string_split(coalesce(text, ''), ' ')))) AS y FROM documents),
+p AS (SELECT a.doc_id, a.y, a.by_, avg(b.y) FILTER (b.t >= a.t - 86400 - 30 * 86400) AS near, count(b.y) FILTER (b.t >= a.t - 86400 - 30 * 86400) AS n, avg(b.y) AS every, avg(b.y) FILTER (b.by_ = a.by_) AS own FROM s a LEFT JOIN s b ON b.t < a.t - 86400 GROUP BY 1, 2, 3),
+q AS (SELECT doc_id, y, coalesce(CASE WHEN n >= 30 THEN near END, every, 0) AS rung1, own FROM p)"""
+
+
+@query(f"WITH {_PAST} SELECT doc_id, round(rung1, 6) AS rung1, round(coalesce(own, rung1), 6) AS author_prior FROM q")
+def story_priors(spark, folder):
+    return L.story_features(stories(spark, folder), "label", "doc_id").select("doc_id", r("rung1").alias("rung1"), r("author_prior").alias("author_prior"))
+
+
+@query("WITH s AS (SELECT doc_id, source, 1700000000 + doc_id * 3600 AS t, ln(1 + len(list_distinct(string_split(coalesce(text, ''), ' ')))) AS y FROM documents) SELECT a.doc_id, count(b.y) AS source_prior_count, CASE WHEN count(b.y) >= 3 THEN round(avg(b.y), 6) END AS source_prior_mean, CASE WHEN count(b.y) >= 3 THEN round(stddev_pop(b.y), 6) END AS source_prior_std FROM s a LEFT JOIN s b ON b.source = a.source AND b.t < a.t - 172800 GROUP BY 1")
+def expanding_author_stats(spark, folder):
+    s = A.expanding_stats(stories(spark, folder), "by", "time", F.col("label"), 3, "source")
+    return s.select("doc_id", "source_prior_count", r("source_prior_mean").alias("source_prior_mean"), r("source_prior_std").alias("source_prior_std"))
 
 
 @query()
 def regression_ladder(spark, folder):
-    train, test = _labelled(spark, folder)
-    rungs = {"length": L.dense_ridge(["length"], "quality")}
-    return L.run_ladder(spark, rungs, train, test, "quality", "doc_id", 10)
+    rows = L.story_features(stories(spark, folder), "label", "doc_id").persist()
+    middle = rows.agg(F.percentile_approx("doc_id", 0.7)).first()[0]
+    out = L.run_ladder(spark, L.six_rungs("label", "doc_id", RUNG_TERMS, "normal", trees=10, depth=4), rows.where(F.col("doc_id") < middle), rows.where(F.col("doc_id") >= middle), "label", "doc_id", 10)
+    rows.unpersist()
+    return out
+
+
+@query("SELECT coalesce(sum(len(regexp_extract_all(lower(t), '[a-z0-9]+(?:[''\\-][a-z0-9]+)*'))), 0)::BIGINT AS tokens, count(*) AS lines FROM (SELECT text AS t FROM conversations) WHERE len(regexp_extract_all(lower(t), '[a-z0-9]+(?:[''\\-][a-z0-9]+)*')) > 0")
+def corpus_totals(spark, folder):
+    return J.corpus_totals(table(spark, folder, "conversations").select(T.tokens(F.col("text")).alias("tokens")).where("size(tokens) > 0"))
+
+
+@query("WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source <> '' GROUP BY 1 HAVING count(*) >= 20) SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN 1 ELSE coalesce(idx, 0) END::INTEGER AS domain_idx FROM documents LEFT JOIN (SELECT source AS s, row_number() OVER (ORDER BY n DESC, source) + 1 AS idx FROM c) ON s = source")
+def domain_encoder(spark, folder):
+    d = docs(spark, folder)
+    return J.domain_index(d, J.encoder(d, "source", 20, 2), "source").select("doc_id", F.col("domain_idx").cast("int").alias("domain_idx"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, greatest(len(regexp_extract_all(coalesce(text, ''), '[^ ]+')), 0)::BIGINT AS n FROM conversations), m AS (SELECT n, least(n - 1, 5) AS m FROM t WHERE n > 1) SELECT coalesce(sum(2 * m * n - m * (m + 1)), 0)::BIGINT AS pairs, coalesce(sum(n), 0)::BIGINT AS centres FROM m")
+def example_counts(spark, folder):
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ ]+"), F.lit(0))
+    return J.count_examples(table(spark, folder, "conversations").select(words.alias("ids")), 5)
 
 
 def _assembled(spark, folder):
-    return X.vectors(items(spark, folder), [], ["quantity", "discount"], "l_orderkey")
+    return X.vectors(items(spark, folder), [], ["quantity", "discount"])
 
 
 @query()

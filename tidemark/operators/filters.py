@@ -137,7 +137,3 @@ def validate_features(columns: Iterable[str]) -> set[str]:
     if bad := found - set(ALLOWED):
         raise UnknownFeatureError(f"not on the allowlist: {sorted(bad)}")
     return found
-
-
-def first_of(key: str, order: str):
-    return F.row_number().over(W.partitionBy(key).orderBy(order))

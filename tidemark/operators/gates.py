@@ -123,7 +123,3 @@ def live_ages(stories: DataFrame, live: DataFrame, observed, time: str = "time")
     """Stories with a live score, their month, and their age in hours at one instant (above 0)."""
     age = (F.unix_micros(F.lit(observed).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 3.6e9
     return stories.join(live, "id").withColumns({"month": F.date_format(time, "yyyy-MM"), "age_hours": age}).where("age_hours > 0")
-
-
-def sampled(df: DataFrame, id_: str, n: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(seeded(F.col(id_), seed), id_).limit(n)

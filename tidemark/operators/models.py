@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +32,26 @@ def ridge_dense(df: DataFrame, features: Sequence[str], label: str, alpha: float
     return out | {"intercept": float(row[f"m{d}"] - sum(row[f"m{i}"] * w[i] for i in range(d)))}
 
 
-#: Up to this many features the normal equations are solved in one pass; beyond it the fit takes a pass for each step.
-MOST_NORMAL = 4096
+def ridge(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0, solver: str = "l-bfgs", steps: int = 100):
+    """Ridge over vectors: of any width by l-bfgs, a pass for each step, or by the normal equations in one pass (solver "normal", 4096 features at most).
 
-
-def ridge(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0, steps: int = 100):
-    """Ridge over vectors. The solvers divide their penalty by the label's deviation, which the parameter makes up for."""
-    n, sample, population = df.agg(F.count(label), F.stddev_samp(label), F.stddev_pop(label)).first()
+    The solvers divide their penalty by the label's deviation, which the parameter makes up for.
+    """
+    n, deviation = df.agg(F.count(label), (F.stddev_pop if solver == "normal" else F.stddev_samp)(label)).first()
     if not n:
         raise ValueError("no rows to fit")
-    width = df.select(features).first()[0].size
-    solver, deviation = ("normal", population) if width <= MOST_NORMAL else ("l-bfgs", sample)
-    return LinearRegression(featuresCol=features, labelCol=label, regParam=alpha * (deviation or 1.0) / n, elasticNetParam=0.0, standardization=False, solver=solver, maxIter=steps).fit(df)
+    return LinearRegression(featuresCol=features, labelCol=label, regParam=alpha * (deviation or 1.0) / n, elasticNetParam=0.0, standardization=False, solver=solver, maxIter=steps, tol=1e-5).fit(df)
+
+
+class Fitted(Protocol):
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds predicted."""
+
+
+class Estimator(Protocol):
+    """What a rung is: fit learns from rows with a label, predict adds a column without looking at one."""
+
+    def fit(self, train: DataFrame, label: str) -> Fitted: ...
 
 
 def boosted(df: DataFrame, label: str, features: str = "features", trees: int = 500, depth: int = 6, rate: float = 0.1, bins: int = 64, seed: int = 0) -> GBTRegressionModel:
@@ -82,13 +92,51 @@ def best_round(losses: Sequence[float], patience: int = 50) -> int:
     return at
 
 
-def boosted_early(fit: DataFrame, validation: DataFrame, label: str, patience: int = 50, trees: int = 5000, step: int = 100, **options) -> GBTRegressionModel:
-    """Boosting that stops by patience. The number of trees doubles from `step` until patience ends the search or the ceiling is met."""
-    built = min(step, trees)
-    while True:
-        model = boosted(fit, label, trees=built, **options)
-        losses = model.evaluateEachIteration(validation, "squared")
-        best = best_round(losses, patience)
-        if built >= trees or len(losses) - best >= patience:
-            return first_trees(model, best)
-        built = min(2 * built, trees)
+@dataclass
+class Boosted:
+    """Least-squares boosting round by round: the label's mean, and trees that each fit what the earlier ones leave."""
+
+    base: float
+    rate: float
+    trees: list[DecisionTreeRegressionModel]
+    losses: list[float]
+    best: int
+
+    def predict(self, df: DataFrame, trees: int | None = None) -> DataFrame:
+        """Adds predicted, by the best number of trees or a stated one, up to those built."""
+        out = df.withColumn("predicted", F.lit(self.base))
+        for tree in self.trees[: self.best if trees is None else trees]:
+            out = tree.transform(out).withColumn("predicted", F.col("predicted") + self.rate * F.col("prediction")).drop("prediction")
+        return out
+
+
+def boosted_early(fit: DataFrame, validation: DataFrame, label: str, features: str = "features", patience: int = 50, trees: int = 5000, depth: int = 6, rate: float = 0.1, bins: int = 64, every: int = 20) -> Boosted:
+    """Boosting that ends once `patience` rounds bring no better validation error. A round continues from the last one, nothing is fitted again.
+
+    Residuals are written each `every` rounds to the folder in spark.checkpoint.dir, which cuts their lineage.
+    """
+    spark = fit.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    base = fit.agg(F.avg(label)).first()[0]
+    if base is None:
+        raise ValueError("no rows to fit")
+    rows = [df.select(features, F.col(label).cast("double").alias("_y"), F.lit(float(base)).alias("_p")) for df in (fit, validation)]
+    out = Boosted(float(base), rate, [], [], 0)
+    grower = DecisionTreeRegressor(featuresCol=features, labelCol="_r", maxDepth=depth, maxBins=bins, predictionCol="_t")
+    best = math.inf
+    for n in range(1, trees + 1):
+        tree = grower.fit(rows[0].withColumn("_r", F.col("_y") - F.col("_p")))
+        rows = [tree.transform(df).withColumn("_p", F.col("_p") + rate * F.col("_t")).drop("_t") for df in rows]
+        if n % every == 0:
+            rows = [df.checkpoint() for df in rows]
+        loss = rows[1].agg(F.sqrt(F.avg((F.col("_y") - F.col("_p")) ** 2))).first()[0]
+        out.trees.append(tree.setPredictionCol("prediction"))
+        out.losses.append(loss)
+        if loss < best:
+            best, out.best = loss, n
+        elif n - out.best >= patience:
+            break
+    return out

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import asof as A
 from tidemark.operators import features as X
 from tidemark.operators import models as M
 from tidemark.operators import ranks
 
 Rung = Callable[[DataFrame, DataFrame], DataFrame]
+#: The dense columns of the rungs on all signals, in their order.
+DENSE = ("author_prior", "domain_prior", "body_length", "has_body", "has_url", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend")
+BODY = ("body_length", "has_body")
 
 
-def dense_ridge(columns: list[str], label: str, alpha: float = 1.0) -> Rung:
-    def rung(train: DataFrame, test: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
+def story_features(stories: DataFrame, label: str, id_: str = "id", time: str = "time") -> DataFrame:
+    """Stories (title, text, by, url, time, label) with the rungs' predictions from the past and the dense columns.
+
+    Priors are those of each row's own bound, over earlier and later interval together; a key without a past has the trailing mean.
+    """
+    plain = T.strip_html(F.col("text"), T.unescape_common)
+    rows = stories.withColumns({"_plain": plain, "domain": T.hostname(F.col("url"))})
+    rows = rows.withColumns({"body_length": T.body_length(F.col("_plain")), "has_body": T.has_body(F.col("_plain")), "has_url": T.has_url(F.col("url")), "body": F.col("_plain"), **T.temporal(F.col(time))}).drop("_plain")
+    for name, key in (("author", "by"), ("domain", "domain")):
+        rows = A.prior_mean(rows, key, time, label, A.Prior(), f"{name}_own")
+    first = A.trailing_rung(rows, id_, time, F.col(label))
+    rows = rows.join(first, id_)
+    return rows.withColumns({f"{n}_prior": F.coalesce(f"{n}_own_mean", "rung1") for n in ("author", "domain")})
+
+
+def given(column: str) -> Rung:
+    """A rung whose prediction is a column that the past has given already."""
+    return lambda train, test: test.withColumn("predicted", F.col(column))
+
 
+def dense_ridge(columns: Sequence[str], label: str, alpha: float = 1.0) -> Rung:
+    def rung(train: DataFrame, test: DataFrame) -> DataFrame:
         scaler = X.fit_scaler(train, columns)
         w = M.ridge_dense(X.scale(train, scaler), columns, label, alpha)
         scaled = X.scale(test, scaler)
@@ -25,35 +50,76 @@ def dense_ridge(columns: list[str], label: str, alpha: float = 1.0) -> Rung:
     return rung
 
 
-def assembled(train: DataFrame, test: DataFrame, id_: str, texts: list[str], columns: list[str], max_features: int) -> tuple[DataFrame, DataFrame]:
-    """Both intervals with `features`: one TF-IDF block for each text column, then the scaled columns, all fitted on the earlier interval."""
-    vocabs = [X.fit_tfidf(train, id_, t, max_features).persist() for t in texts]
-    widths = [v.count() for v in vocabs]
-    scaler = X.fit_scaler(train, columns) if columns else {}
+@dataclass
+class Features:
+    """One TF-IDF block for each text column, then the scaled columns; all fitted on the earlier interval."""
+
+    texts: Sequence[str]
+    columns: Sequence[str]
+    id_: str = "id"
+    max_features: int = 50_000
+    blocks: list[tuple[DataFrame, str]] = field(default_factory=list)
+    scaler: dict[str, tuple[float, float]] = field(default_factory=dict)
 
-    def of(df: DataFrame) -> DataFrame:
-        blocks = [(X.tfidf(df, v, id_, t), n) for v, t, n in zip(vocabs, texts, widths, strict=True)]
-        return X.vectors(X.scale(df, scaler) if scaler else df, blocks, columns, id_)
+    def fit(self, train: DataFrame) -> Features:
+        self.blocks = [(X.fit_tfidf(train, self.id_, t, self.max_features), t) for t in self.texts]
+        spark = train.sparkSession  # a vocabulary is bounded by max_features, so it is kept as rows
+        self.blocks = [(spark.createDataFrame(v.collect(), v.schema), t) for v, t in self.blocks]
+        self.scaler = X.fit_scaler(train, self.columns) if self.columns else {}
+        return self
 
-    return of(train).persist(), of(test)
+    def of(self, df: DataFrame) -> DataFrame:
+        return X.vectors(X.scale(df, self.scaler), self.blocks, self.columns)
 
 
-def text_ridge(id_: str, texts: list[str], columns: list[str], label: str, alpha: float = 1.0, max_features: int = 50_000) -> Rung:
+def text_ridge(texts: Sequence[str], columns: Sequence[str], label: str, id_: str = "id", alpha: float = 1.0, max_features: int = 50_000, solver: str = "l-bfgs") -> Rung:
     def rung(train: DataFrame, test: DataFrame) -> DataFrame:
-        a, b = assembled(train, test, id_, texts, columns, max_features)
-        return M.ridge(a, label, alpha=alpha).transform(b).withColumnRenamed("prediction", "predicted")
+        made = Features(texts, columns, id_, max_features).fit(train)
+        rows = made.of(train).select("features", label).persist()
+        model = M.ridge(rows, label, alpha=alpha, solver=solver)
+        rows.unpersist()
+        return model.transform(made.of(test)).withColumnRenamed("prediction", "predicted")
 
     return rung
 
 
-def text_trees(id_: str, texts: list[str], columns: list[str], label: str, max_features: int = 50_000, **options) -> Rung:
+def text_trees(texts: Sequence[str], columns: Sequence[str], label: str, id_: str = "id", max_features: int = 50_000, **options) -> Rung:
     def rung(train: DataFrame, test: DataFrame) -> DataFrame:
-        a, b = assembled(train, test, id_, texts, columns, max_features)
-        return M.boosted(a, label, **options).transform(b).withColumnRenamed("prediction", "predicted")
+        made = Features(texts, columns, id_, max_features).fit(train)
+        rows = made.of(train).select("features", label).persist()
+        model = M.boosted(rows, label, **options)
+        rows.unpersist()
+        return model.transform(made.of(test)).withColumnRenamed("prediction", "predicted")
 
     return rung
 
 
+def text_trees_stopped(texts: Sequence[str], columns: Sequence[str], label: str, held: Callable[[DataFrame], DataFrame], id_: str = "id", max_features: int = 50_000, **options) -> Rung:
+    """Early-stopped trees; held marks the validation rows of the earlier interval. Vocabularies and scales are fitted without them."""
+
+    def rung(train: DataFrame, test: DataFrame) -> DataFrame:
+        marked = train.withColumn("_held", held(train))
+        made = Features(texts, columns, id_, max_features).fit(marked.where("NOT _held"))
+        rows = made.of(marked).select("features", label, "_held").persist()
+        model = M.boosted_early(rows.where("NOT _held"), rows.where("_held"), label, **options)
+        rows.unpersist()
+        return model.predict(made.of(test))
+
+    return rung
+
+
+def six_rungs(label: str, id_: str = "id", max_features: int = 50_000, solver: str = "l-bfgs", **trees) -> dict[str, Rung]:
+    """Over story_features(): the trailing mean, an author's and a domain's past, ridge on the body, ridge and boosted trees on all signals."""
+    return {
+        "1 trailing mean": given("rung1"),
+        "2 author": given("author_prior"),
+        "3 domain": given("domain_prior"),
+        "4 body ridge": text_ridge(["body"], BODY, label, id_, max_features=max_features, solver=solver),
+        "5 all signals ridge": text_ridge(["title", "body"], DENSE, label, id_, max_features=max_features, solver=solver),
+        "6 all signals trees": text_trees(["title", "body"], DENSE, label, id_, max_features, **trees),
+    }
+
+
 def run_ladder(spark: SparkSession, rungs: Mapping[str, Rung], train: DataFrame, test: DataFrame, label: str, id_: str, k: int = 100) -> DataFrame:
     """rung and its measures, one row for each rung."""
     rows = []
@@ -64,6 +130,11 @@ def run_ladder(spark: SparkSession, rungs: Mapping[str, Rung], train: DataFrame,
     return spark.createDataFrame(rows, "rung string, rmse double, mae double, n long, spearman double, precision double")
 
 
+def score(model: Callable[[DataFrame], DataFrame], rows: DataFrame, id_: str = "id") -> DataFrame:
+    """Batch predictions: id and predicted, from a fitted rung's predict."""
+    return model(rows).select(id_, "predicted")
+
+
 def markdown(table: DataFrame, k: int = 100) -> str:
     """The rungs as a table; precision at k is shown as a count."""
     lines = [f"| Rung | RMSE | MAE | Spearman | P@{k} |", "|-|-|-|-|-|"]
