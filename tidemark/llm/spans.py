@@ -300,7 +300,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, k: int = K, sampl
     """A row for each document with doc_id, t, n_words, sha and first (the least doc_id with equal words); and what to remove, arrays gone of (place, length) by (doc_id, t), from documents that are first of their copies."""
     docs = _named(documents)
     seen = written(docs.mapInPandas(_digests(window, k), "doc_id long, t long, n_words long, sha string, anchors array<long>"))
-    firsts = seen.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    firsts = written(seen.groupBy("sha").agg(F.min("doc_id").alias("first")))  # written, so that the join may split a hot digest
     digests = written(seen.select("doc_id", "t", "n_words", "sha").join(firsts, "sha"))
     own = digests.where(f"doc_id = first AND n_words >= {window}").select("doc_id", "t").distinct()
     each = seen.join(own, ["doc_id", "t"], "left_semi").select("doc_id", "t", F.explode("anchors").alias("anchor"))
