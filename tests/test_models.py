@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as K
 from tidemark.operators import features as X
 from tidemark.operators import models as M
+from tidemark.operators import vectors as V
 from tidemark.operators import vocab as J
 from tidemark.operators import word2vec as N
 from tidemark.plans import chain as C
@@ -122,3 +123,26 @@ def test_question_files(spark, tmp_path):
     assert [tuple(r)[1:] for r in K.read_questions(spark, f"file://{tmp_path}/q").collect()] == [("a", "b", "c", "d")]
     (tmp_path / "r").write_text("Word 1,Word 2,Human\nTiger,cat,7.35\ncar\tauto\t8\n")
     assert sorted(tuple(r) for r in K.read_ratings(spark, f"file://{tmp_path}/r").collect()) == [("car", "auto", 8.0), ("tiger", "cat", 7.35)]
+
+
+def test_blocks_and_slices_of_queries_change_no_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 6))
+    v[7] = v[3]  # a tie
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -np.inf)
+    expected = {(i, j) for i in range(60) for j in sorted(range(60), key=lambda j: (-round(sims[i, j], 9), j))[:3]}
+    for query_bytes, held in ((10**9, 10**9), (10**9, 1), (500, 1)):  # one block and slice, one query a slice, several blocks
+        monkeypatch.setattr(V, "QUERY_BYTES", query_bytes)
+        monkeypatch.setattr(V, "SIMILARITY_BYTES", held)
+        assert {(r["query"], r["id"]) for r in V.neighbours(rows, rows, 3).collect()} == expected
+    assert V.neighbours(rows, rows.limit(0), 3).count() == 0
+
+
+def test_analogies_leave_out_the_questions_words_and_unknown_ones(spark):
+    space = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 1.0]), ("far", [-1.0, -1.0]), ("near", [0.1, 1.0])], "word string, vector array<double>")
+    asked = spark.createDataFrame([(1, "a", "b", "c", "near"), (2, "a", "b", "c", "far"), (3, "a", "b", "c", "unknown")], "qid long, a string, b string, c string, d string")
+    assert tuple(K.analogies(space, asked).first()) == (0.5, 2)
+    assert tuple(K.analogies(space, asked.limit(0)).first()) == (0.0, 0)

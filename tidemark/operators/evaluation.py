@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks
-from tidemark.operators.vectors import cosine, unit
+from tidemark.operators.vectors import cosine, matches, unit
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -31,18 +31,16 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 def analogies(space: DataFrame, questions: DataFrame, word: str = "word", vector: str = "vector") -> DataFrame:
     """accuracy and covered of "a is to b as c is to what": the word nearest to b - a + c that is none of them.
 
-    Questions with an unknown word do not count. The questions are a fixed file; their vectors go to the tasks
-    that hold the space, where each question keeps its best word only.
+    Questions with an unknown word do not count; of equally near words the least is the answer. The questions' vectors
+    go out in blocks of a bounded size.
     """
     units = space.select(F.col(word).alias("_word"), unit(F.col(vector)).alias("_unit"))
     asked = questions
     for name in "abcd":
         asked = asked.join(units.select(F.col("_word").alias(name), F.col("_unit").alias(f"_{name}")), name)
     query = F.zip_with(F.zip_with("_b", "_a", lambda x, y: x - y), "_c", lambda x, y: x + y)
-    asked = asked.select("qid", "a", "b", "c", "d", query.alias("_query"))
-    score = F.aggregate(F.zip_with("_unit", "_query", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = units.join(F.broadcast(asked), ~F.col("_word").isin(F.col("a"), F.col("b"), F.col("c")))
-    best = met.groupBy("qid", "d").agg(F.max_by("_word", score).alias("found"))
+    met = matches(space, asked.select(F.col("qid").alias("query"), F.array("a", "b", "c").alias("others"), query.alias("vector")), 1, word, vector)
+    best = met.groupBy("query").agg(F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("found")).join(questions.select(F.col("qid").alias("query"), "d"), "query")
     covered = F.count(F.lit(1))
     return best.agg(F.coalesce(F.avg((F.col("found") == F.col("d")).cast("double")), F.lit(0.0)).alias("accuracy"), covered.alias("covered"))
 

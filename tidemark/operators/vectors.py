@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,50 +29,61 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Bytes of queries that are sent to all tasks at once; more of them go in turns, each a pass over the space.
 QUERY_BYTES = 64_000_000
+#: Bytes of similarities that a task holds at once, whatever the number of queries.
+SIMILARITY_BYTES = 32_000_000
 
 
-def neighbours(space: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For a stated set of queries the k nearest others: query, id, similarity, rank; ties by id.
+def _turns(queries: DataFrame) -> Iterator[list]:
+    """Rows whose vectors take at most QUERY_BYTES together."""
+    held, size = [], 0
+    for row in queries.toLocalIterator():
+        held.append(row)
+        size += 8 * len(row["vector"])
+        if size >= QUERY_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def matches(space: DataFrame, queries: DataFrame, k: int, id_: str, vector: str) -> DataFrame:
+    """query, id, similarity: candidates among which are each query's k most similar ids by cosine.
 
-    Queries are unit vectors in blocks of at most QUERY_BYTES. A task multiplies its rows with a block and keeps, of each
-    batch of rows, the k best for each query (and what ties with them); their ranks are taken from those.
+    queries: query, others (an array of ids that don't count for it) and vector. They go out in blocks of at most QUERY_BYTES. A task
+    multiplies each batch of its rows with a slice of the block and keeps the k best for each query and what ties with them.
     """
     spark = space.sparkSession
-    kind = space.schema[id_].dataType.simpleString()
-    found, held, size = None, [], 0
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, id {space.schema[id_].dataType.simpleString()}, similarity double"
+    asked = queries.select("query", "others", F.col("vector").cast("array<double>").alias("vector"))
 
     def block(rows: list) -> DataFrame:
-        ids, q = [x[0] for x in rows], _units([x[1] for x in rows])
-        known = spark.sparkContext.broadcast((ids, q))
+        known = spark.sparkContext.broadcast(([x["query"] for x in rows], [x["others"] for x in rows], _units([x["vector"] for x in rows])))
 
         def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = known.value
-            own = np.array(ids, dtype=object)
+            asked, others, q = known.value
+            asked = np.array(asked, dtype=object)
             for frame in frames:
-                if len(frame):
-                    sims = q @ _units(frame[vector].tolist()).T
-                    names = frame[id_].to_numpy(dtype=object)
-                    sims[own[:, None] == names[None, :]] = -np.inf
-                    least = np.partition(sims, -min(k, len(frame)), axis=1)[:, -min(k, len(frame))]
+                if not len(frame):
+                    continue
+                names, where, units = frame[id_].to_numpy(dtype=object), frame.groupby(id_).indices, _units(frame[vector].tolist()).T
+                step, kept = max(1, SIMILARITY_BYTES // (8 * len(frame))), min(k, len(frame))
+                for low in range(0, len(q), step):
+                    sims = q[low : low + step] @ units
+                    for i, own in enumerate(others[low : low + step]):
+                        for x in own:
+                            sims[i, where.get(x, [])] = -np.inf
+                    least = np.partition(sims, -kept, axis=1)[:, -kept]
                     i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-                    yield pd.DataFrame({"query": own[i], "id": names[j], "similarity": sims[i, j]})
+                    yield pd.DataFrame({"query": asked[low + i], "id": names[j], "similarity": sims[i, j]})
 
-        return space.select(id_, vector).mapInPandas(best, f"query {kind}, id {kind}, similarity double")
+        return space.select(id_, vector).mapInPandas(best, kinds)
 
-    def add(rows: list) -> None:
-        nonlocal found
-        found = block(rows) if found is None else found.unionAll(block(rows))
+    return reduce(DataFrame.unionAll, map(block, _turns(asked)), spark.createDataFrame([], kinds))
 
-    for row in queries.select(id_, F.col(vector).cast("array<double>")).toLocalIterator():
-        held.append(row)
-        size += 8 * len(row[1])
-        if size >= QUERY_BYTES:
-            add(held)
-            held, size = [], 0
-    if held:
-        add(held)
-    if found is None:
-        return spark.createDataFrame([], f"query {kind}, id {kind}, similarity double, rank int")
+
+def neighbours(space: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For a stated set of queries the k nearest others: query, id, similarity, rank; ties by id."""
+    found = matches(space, queries.select(F.col(id_).alias("query"), F.array(id_).alias("others"), F.col(vector).alias("vector")), k, id_, vector)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
