@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as K
 from tidemark.operators import features as X
 from tidemark.operators import models as M
+from tidemark.operators import order as O
+from tidemark.operators import ranks as R
 from tidemark.operators import vectors as V
 from tidemark.operators import vocab as J
 from tidemark.operators import word2vec as N
 from tidemark.plans import chain as C
+from tidemark.plans import ladder as L
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +151,53 @@ def test_analogies_leave_out_the_questions_words_and_unknown_ones(spark):
     asked = spark.createDataFrame([(1, "a", "b", "c", "near"), (2, "a", "b", "c", "far"), (3, "a", "b", "c", "unknown")], "qid long, a string, b string, c string, d string")
     assert tuple(K.analogies(space, asked).first()) == (0.5, 2)
     assert tuple(K.analogies(space, asked.limit(0)).first()) == (0.0, 0)
+
+
+def test_rungs_share_their_features_and_measure_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda: "word" + "abcdefghijklmnopqrstuvwxyz"[int(26 * rng.random() ** 2)]
+    rows = []
+    for i in range(90):
+        body = " ".join(word() for _ in range(rng.integers(0, 40)))
+        rows.append((i, datetime(2024, 1, 1) + timedelta(hours=9 * i), body[:30] if i % 9 else None, body if i % 7 else None, f"a{i % 3}" if i % 5 else None, f"http://h{i % 4}.com/x" if i % 2 else None, float(len(set(body.split())))))
+    stories = spark.createDataFrame(rows, "id long, time timestamp, title string, text string, by string, url string, label double")
+    made = L.story_features(stories, "label").persist()
+    train, test = made.where("id < 60"), made.where("id >= 60")
+    calls, make = [], X.CountVectorizerModel.from_vocabulary
+    monkeypatch.setattr(X.CountVectorizerModel, "from_vocabulary", lambda *a, **k: calls.append(a) or make(*a, **k))
+    got = [tuple(r) for r in L.run_ladder(spark, L.six_rungs("label", "id", 12, "normal", trees=2, depth=2), train, test, "label", "id", 5).collect()]
+    assert len(calls) <= 4  # two texts of two intervals, for three rungs together
+    alone = {
+        "1 trailing mean": L.given("rung1"), "2 author": L.given("author_prior"), "3 domain": L.given("domain_prior"),
+        "4 body ridge": L.text_ridge(["body"], L.BODY, "label", "id", max_features=12, solver="normal"),
+        "5 all signals ridge": L.text_ridge(["title", "body"], L.DENSE, "label", "id", max_features=12, solver="normal"),
+        "6 all signals trees": L.text_trees(["title", "body"], L.DENSE, "label", "id", 12, trees=2, depth=2),
+    }
+    want = [(name, *R.report(rung(train, test), "predicted", "label", "id", 5).values()) for name, rung in alone.items()]
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[1:] == pytest.approx(w[1:], rel=1e-6), g[0]
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_frequent_terms_are_those_of_tfidf(spark, size):
+    rng = np.random.default_rng(size)
+    texts = [" ".join("wx" + "abcdefghij"[int(10 * rng.random() ** 2)] for _ in range(rng.integers(0, 30))) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    fitted = [tuple(r) for r in X.fit_tfidf(df, "id", "text", size).orderBy("idx").select("term", "idf").collect()]
+    found = X.frequent_terms(df, "text", size)
+    assert (found is None) == (size > 9)  # with fewer words than asked for, or with none left, this way is no shorter
+    assert found is None or found == [t for t, _ in fitted]
+    counted = X.count_block(df, [t for t, _ in fitted], "text", "c").persist()
+    assert X.idf_of_counts(counted, "c") == pytest.approx([i for _, i in fitted])
+
+
+def test_ranks_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "LEAST_ROWS", 8)
+    rng = np.random.default_rng(6)
+    values = pd.DataFrame({"d": np.round(rng.normal(size=90), 1), "i": rng.integers(-9, 9, 90)})
+    df = spark.createDataFrame(values).persist()
+    for c in ("d", "i"):
+        assert len(df.select(O.part_of(df, c).alias("p")).distinct().collect()) == 4
+        got = sorted(tuple(r) for r in R.average_ranks(df, c, "r").select(c, "r").collect())
+        assert got == sorted(zip(values[c].tolist(), values[c].rank().tolist(), strict=True))
