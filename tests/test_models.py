@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from tidemark.operators import features as X
 from tidemark.operators import models as M
 from tidemark.operators import order as O
 from tidemark.operators import ranks as R
+from tidemark.operators import sparse as S
 from tidemark.operators import vectors as V
 from tidemark.operators import vocab as J
 from tidemark.operators import word2vec as N
@@ -201,3 +203,80 @@ def test_ranks_in_many_ranges(spark, monkeypatch):
         assert len(df.select(O.part_of(df, c).alias("p")).distinct().collect()) == 4
         got = sorted(tuple(r) for r in R.average_ranks(df, c, "r").select(c, "r").collect())
         assert got == sorted(zip(values[c].tolist(), values[c].rank().tolist(), strict=True))
+
+
+def _plain_trees(x: np.ndarray, y: np.ndarray, k: S.Settings) -> np.ndarray:
+    """Predictions of trees that try every split of every row set; nan is missing."""
+    p = np.full(len(y), y.mean())
+
+    def split(rows, g, depth):
+        best, total, n = None, g[rows].sum(), len(rows)
+        for f in range(x.shape[1] if depth < k.depth else 0):
+            v = x[rows, f]
+            for t in np.unique(v[~np.isnan(v)]):
+                for missing in (False, True):
+                    left = (v <= t) | (np.isnan(v) & missing)
+                    a, m = g[rows][left].sum(), left.sum()
+                    if 0 < m < n:
+                        gain = a * a / (m + k.penalty) + (total - a) ** 2 / (n - m + k.penalty) - total**2 / (n + k.penalty)
+                        if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, left)
+        if best is None:
+            p[rows] += k.rate * total / (n + k.penalty)
+        else:
+            split(rows[best[1]], g, depth + 1)
+            split(rows[~best[1]], g, depth + 1)
+
+    for _ in range(k.trees):
+        split(np.arange(len(y)), y - p, 0)
+    return p
+
+
+@pytest.fixture(scope="module")
+def holed(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.integers(1, 6, (80, 6)) / 3).astype(np.float32)
+    x[rng.random(x.shape) < 0.5] = np.nan
+    y = np.where(np.isnan(x[:, 0]), 2, x[:, 0]) + (x[:, 1] > 1) + rng.normal(size=80) / 5
+    vector = lambda i, r: Vectors.dense(np.nan_to_num(r)) if i % 4 == 0 else Vectors.sparse(6, [(j, float(v)) for j, v in enumerate(r) if v == v])
+    return spark.createDataFrame([(i, vector(i, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], ["id", "features", "y"]).repartition(3).persist(), x, y
+
+
+@pytest.mark.parametrize(("tasks", "chunk"), [(1, 60_000), (3, 20)])
+def test_sparse_trees_are_plain_trees_in_any_number_of_tasks(holed, monkeypatch, tasks, chunk):
+    df, x, y = holed
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    k = S.Settings(trees=4, depth=3)
+    model = S.boosted_sparse(df, "y", settings=k, tasks=tasks)
+    got = [r.prediction for r in model.transform(df).orderBy("id").collect()]
+    assert got == pytest.approx(_plain_trees(x, y, k), rel=1e-6)
+
+
+def test_columns_of_many_values_are_cut_evenly_and_equal_values_stay_together():
+    v = np.r_[np.ones(50), np.arange(2, 152)].astype(np.float32)
+    c = S.binned(np.arange(200, dtype=np.int32), np.zeros(200, np.int32), v, 10)
+    assert np.diff(c.start).tolist() == [50, 10, *[20] * 7]
+    assert len(S.binned(np.arange(200, dtype=np.int32), np.zeros(200, np.int32), v, 151).feature) == 151
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_sparse_ridge_equals_the_closed_form(holed, tasks):
+    df, x, y = holed
+    x = np.nan_to_num(x.astype(float))
+    c = x - x.mean(0)
+    w = np.linalg.solve(c.T @ c + np.eye(6), c.T @ (y - y.mean()))
+    model = S.ridge_sparse(df, "y", tasks=tasks)
+    assert model.weights == pytest.approx(w, rel=1e-5)
+    assert [r.prediction for r in model.transform(df).orderBy("id").collect()] == pytest.approx(c @ w + y.mean(), rel=1e-6)
+
+
+def test_the_query_runs_the_ladder_with_the_references_parameters(spark, monkeypatch):
+    from tidemark import catalog_models as Q
+
+    seen = []
+    monkeypatch.setattr(L, "story_features", lambda rows, *a: rows)
+    monkeypatch.setattr(L, "Shared", lambda *a: seen.append(a[4]) or SimpleNamespace(rung=lambda texts, columns, model: model))
+    monkeypatch.setattr(S, "boosted_sparse", lambda rows, label, settings: seen.append(settings))
+    monkeypatch.setattr(L, "run_ladder", lambda spark, rungs, *a: rungs["6 all signals trees"](None) or spark.range(1))
+    Q.regression_ladder(spark, "/root/testdata/sf0.001")
+    assert seen[0] == 50_000 and (seen[1].trees, seen[1].depth, seen[1].rate, seen[1].bins) == (500, 6, 0.1, 64)
