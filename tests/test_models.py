@@ -242,10 +242,11 @@ def holed(spark):
     return spark.createDataFrame([(i, vector(i, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], ["id", "features", "y"]).repartition(3).persist(), x, y
 
 
-@pytest.mark.parametrize(("tasks", "chunk"), [(1, 60_000), (3, 20)])
-def test_sparse_trees_are_plain_trees_in_any_number_of_tasks(holed, monkeypatch, tasks, chunk):
+@pytest.mark.parametrize(("tasks", "chunk", "few"), [(1, 60_000, 100), (3, 20, 100), (3, 20, 0)])
+def test_sparse_trees_are_plain_trees_in_any_number_of_tasks(holed, monkeypatch, tasks, chunk, few):
     df, x, y = holed
     monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(S, "FEW_ROWS", few)
     k = S.Settings(trees=4, depth=3)
     model = S.boosted_sparse(df, "y", settings=k, tasks=tasks)
     got = [r.prediction for r in model.transform(df).orderBy("id").collect()]
